@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, text_or_empty
 
 BUCKETS, SMOOTHING, THRESHOLD = 10_000, 1.0, -0.12
+#: The fit's documented bound: trusted texts that are counted.
+TRUSTED = 20_000
 #: Base rules: fewest words, largest percentage of words in repeated windows, words of a window.
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
@@ -76,11 +78,13 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, ratio): log P(bucket | trusted) - log P(bucket | raw) over all texts; at most BUCKETS rows.
+    """(bucket, ratio): log P(bucket | trusted) - log P(bucket | raw); at most BUCKETS rows.
 
-    Counts meet in partial sums of at most BUCKETS rows a task. Without a trusted text every ratio is 0.
+    Raw counts are those of all texts; the trusted ones, those of at most TRUSTED texts, chosen by a hash of their ids. Counts
+    meet in partial sums of at most BUCKETS rows a task. Without a trusted text every ratio is 0.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    ids = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(TRUSTED))  # bounded; texts are not shuffled for it
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(ids.withColumn("__good", F.lit(1)), "__id", "left")
     split = found.select(F.coalesce("__good", F.lit(0)).alias("good"), ascii_words(F.col("__t")).alias("__words"))
     grams = split.select("good", F.explode(buckets(F.col("__words"))).alias("bucket"))
