@@ -31,14 +31,12 @@ from .common import sub_batches
 
 DEFAULT_MODEL = os.environ.get("RANKMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Key of a trie node's own piece.
-PIECE = ""
 #: Segmentations kept of each text.
 N_BEST = 4
 #: Score of a character spelled in bytes: below every piece's.
 BYTES_SCORE = -100_000.0
-#: Parts a Python worker remembers.
-REMEMBER = 150_000
+#: Parts a Python worker remembers, in each of two halves.
+REMEMBER = 200_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
 
@@ -62,12 +60,13 @@ class Pieces:
                 shown = piece.replace(SPACE, " ")
                 self.ids[shown] = (i, model.get_score(i))
                 self.text[i] = shown.encode()
+        # Trie: character -> (node below, id of the piece that ends here or -1, its score).
         self.trie: dict = {}
-        for p, found in self.ids.items():
+        for p in sorted(self.ids, key=len):
             node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[PIECE] = found
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, -1, 0.0))[0]
+            node[p[-1]] = (node.get(p[-1], ({},))[0], *self.ids[p])
         self.longest = max(map(len, self.ids), default=1)
         # A part: spaces, then letters or then other characters; or spaces at the end. Numerals that are no digits
         # (superscripts, fractions) count as other characters, as they do in the pieces.
@@ -75,6 +74,7 @@ class Pieces:
         self.part = re.compile(rf" *[^\W\d_{odd}]+| *(?:[^\w ]|[\d_{odd}])+| +")
         self.whole = not all(m is not None and m.end() == len(p) for p in self.ids for m in [self.part.match(p)])
         self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.older: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -123,32 +123,32 @@ class Pieces:
     def best(self, part: str) -> tuple[float, float, bytes]:
         """(best score, gap to the second best, ids of the best as int32): the forward pass alone, two scores a position."""
         size = len(part)
-        trie, bottom = self.trie, -np.inf
+        trie, singles, bottom = self.trie, self.ids, -np.inf
         first = [0.0] + [bottom] * size
         second = [bottom] * (size + 1)
         back: list = [None] * (size + 1)
         for i in range(size):
-            one = first[i]
-            node = trie
-            for j in range(i, size):
-                node = node.get(part[j])
-                if node is None:
+            one, two = first[i], second[i]
+            node, end = trie, i
+            for c in part[i:]:
+                entry = node.get(c)
+                if entry is None:
                     break  # no piece begins like this
-                piece = node.get(PIECE)
-                if piece is not None:
-                    score = one + piece[1]
-                    end = j + 1
+                node, piece, gain = entry
+                end += 1
+                if piece >= 0:
+                    score = one + gain
                     if score > first[end]:
-                        other = second[i] + piece[1]
+                        other = two + gain
                         second[end] = first[end] if first[end] > other else other
                         first[end] = score
-                        back[end] = (i, piece[0])
+                        back[end] = (i, piece)
                     elif score > second[end]:
                         second[end] = score
-            if part[i] not in self.ids:
+            if part[i] not in singles:
                 end, score = i + 1, one + BYTES_SCORE
                 if score > first[end]:
-                    second[end] = max(first[end], second[i] + BYTES_SCORE)
+                    second[end] = max(first[end], two + BYTES_SCORE)
                     first[end] = score
                     back[end] = (i, -1)
         ids: list[int] = []
@@ -164,9 +164,10 @@ class Pieces:
         return first[size], first[size] - second[size], array("i", ids).tobytes()
 
     def solved(self, part: str) -> tuple[float, float, bytes]:
-        found = self.best(part)
+        found = self.older.get(part) or self.best(part)
         if len(part) <= LONG:
-            if len(self.known) >= REMEMBER:
+            if len(self.known) >= REMEMBER:  # what is still in use moves back from the older half
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[part] = found
         return found
