@@ -1,6 +1,457 @@
-"""Registry of the engine's named queries and their SQL oracles."""
+"""Registry of the engine's named queries over the driver's tables, and their SQL oracles.
+
+The product view is the table part; the query texts and gold rules below feed both the DataFrames and the oracles.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import documents, evaluation, lexical, maintenance, ranking, vector
+from ..sources import products as S
+from ..streaming import events as E
+from . import pipeline
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: (query_id, text). The last two hold a product code and the beginning of one.
+TEXTS = [
+    (1, "small ring"), (2, "red widget 28"), (3, "blue bolts couleur blue"), (4, "hot gear economy"), (5, "brand 4 bolt"), (6, "widget"), (7, "economy gear 37 mm"),
+    (8, "ed28re1"), (9, "sd5bl"),
+]
+DIM = 64
+GOLD_SQL = "SELECT q AS query_id, product_id, max(label) AS label FROM ({}) GROUP BY q, product_id"
+
+P = """p AS (SELECT printf('P%06d', p_partkey) AS product_id, p_name AS name, p_brand AS brand, p_type AS category, split_part(p_name, ' ', 1) AS color,
+  p_size || ' mm' AS diameter, upper(substr(p_type, 1, 1)) || 'D' || p_size || upper(substr(p_name, 1, 2)) || p_partkey AS code FROM part)"""
+DOC = P + """, d AS (SELECT *, concat_ws(' | ', code, name, 'couleur ' || color, 'diamètre ' || diameter, brand, category) AS search_document FROM p)"""
+FIELD = P + """, f AS (SELECT product_id, 1 AS field, name AS t FROM p UNION ALL SELECT product_id, 2, 'couleur ' || color || ' diametre ' || diameter FROM p
+  UNION ALL SELECT product_id, 3, brand FROM p UNION ALL SELECT product_id, 4, category FROM p),
+tok AS (SELECT product_id, field, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT product_id, field, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM f)),
+word AS (SELECT product_id, field, w AS term, CASE WHEN regexp_matches(w, '^[0-9]+$') THEN 'number' ELSE 'word' END AS kind, false AS is_variant, 2 * k AS pos FROM tok
+  UNION ALL SELECT product_id, field, substr(w, 1, length(w) - 1), 'word', true, 2 * k + 1 FROM tok WHERE length(w) >= 4 AND regexp_matches(w, '[sx]$')),
+ctok AS (SELECT product_id, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT product_id, regexp_extract_all(lower(code), '[a-z]+|[0-9]+') AS w FROM p)),
+occ AS (SELECT product_id, 0 AS field, lower(code) AS term, 'code' AS kind, false AS is_variant, 0 AS pos FROM p
+  UNION ALL SELECT product_id, 0, w, 'code', true, k + 1 FROM ctok
+  UNION ALL SELECT * FROM word WHERE kind <> 'word' OR term NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """)),
+tf AS (SELECT product_id, field, term, (count(*) FILTER (WHERE NOT is_variant) + arg_min(is_variant::INT, pos))::INT AS tf FROM occ GROUP BY ALL),
+len AS (SELECT product_id, field, count(*) AS length FROM occ GROUP BY ALL),
+av AS (SELECT field, avg(length) AS avg_length FROM len GROUP BY field),
+df AS (SELECT term, count(DISTINCT product_id) AS df FROM tf GROUP BY term)"""
+QT = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in TEXTS) + """) AS v(query_id, text)),
+qt0 AS (SELECT query_id, unnest(regexp_extract_all(text, '[0-9]+|[a-z][a-z0-9]*')) AS w FROM q),
+qtok AS (SELECT DISTINCT query_id, w FROM qt0 UNION SELECT query_id, substr(w, 1, length(w) - 1) FROM qt0 WHERE length(w) >= 4 AND regexp_matches(w, '[sx]$')),
+qterm AS (SELECT query_id, w AS term FROM qtok UNION SELECT query_id, substr(w, 1, length(w) - 1) FROM qtok WHERE length(w) >= 4 AND regexp_matches(w, '[sx]$')
+  UNION SELECT query_id, unnest(regexp_extract_all(w, '[a-z]+|[0-9]+')) FROM qtok WHERE regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]')),
+qcode AS (SELECT DISTINCT query_id, upper(w) AS code FROM qtok WHERE length(w) >= 4 AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]'))"""
+SCORE = FIELD + ", " + QT + """,
+hit AS (SELECT qterm.query_id, tf.product_id, qterm.term, sum((CASE tf.field WHEN 0 THEN 4.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END) * tf.tf
+    / (0.25 + 0.75 * len.length / av.avg_length)) AS w, max(CASE WHEN tf.field = 2 THEN 1 ELSE 0 END) AS in_attr
+  FROM qterm JOIN tf USING (term) JOIN len USING (product_id, field) JOIN av USING (field) GROUP BY ALL),
+lex AS (SELECT query_id, product_id, sum(ln(1 + ((SELECT count(*) FROM p) - df + 0.5) / (df + 0.5)) * (w * 2.2) / (w + 1.2)) AS bm25f,
+    sum(CASE WHEN in_attr = 1 AND regexp_matches(hit.term, '^[0-9]+$') THEN 2.0 ELSE 0.0 END) AS numeric FROM hit JOIN df USING (term) GROUP BY ALL),
+ex AS (SELECT query_id, qcode.code, product_id FROM qcode JOIN p USING (code)),
+px AS (SELECT DISTINCT query_id, product_id FROM qcode JOIN p ON starts_with(p.code, qcode.code) OR starts_with(qcode.code, p.code)
+  WHERE qcode.code NOT IN (SELECT code FROM p)),
+al AS (SELECT query_id, product_id, sum(bm25f) AS bm25f, sum(numeric) AS numeric, max(exact) AS exact, max(prefix) AS prefix FROM (
+    SELECT query_id, product_id, bm25f, numeric, 0.0 AS exact, 0.0 AS prefix FROM lex UNION ALL SELECT query_id, product_id, 0, 0, 25.0, 0.0 FROM ex
+    UNION ALL SELECT query_id, product_id, 0, 0, 0.0, 8.0 FROM px) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM (SELECT *, round(bm25f + numeric + exact + prefix, 9) AS score FROM al))"""
+FEATURE = FIELD + """, e AS (SELECT product_id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM p),
+t AS (SELECT product_id, list_transform(flatten(list_transform(w, lambda x: CASE WHEN length(x) >= 4 AND regexp_matches(x, '[sx]$')
+    THEN [x, '~' || substr(x, 1, length(x) - 1)] ELSE [x] END)), lambda x: x) AS terms FROM e),
+fe AS (SELECT product_id, 't:' || ltrim(x, '~') AS feature, 1 + ln(sum(CASE WHEN starts_with(x, '~') THEN 0.5 ELSE 1.0 END)) AS weight FROM (SELECT product_id, unnest(terms) AS x FROM t) GROUP BY ALL
+  UNION ALL SELECT product_id, 'g:' || g, count(*) * 0.3 FROM (SELECT product_id, substr(s, i::BIGINT, 3) AS g FROM (SELECT product_id, s, unnest(range(1, length(s) - 1)) AS i
+    FROM (SELECT product_id, '^' || replace(array_to_string(terms, ' '), '~', '') || '$' AS s FROM t))) GROUP BY ALL),
+fx AS (SELECT product_id, feature, weight, (('0x' || substr(sha1(feature), 1, 4))::BIGINT % """ + str(DIM) + """)::INT AS idx,
+  CASE WHEN ('0x' || substr(sha1(feature), 6, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM fe)"""
+VEC = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
+s AS (SELECT a.id AS query_id, b.id AS id, round({}, 9) AS score, a.label AS la, b.label AS lb FROM v a JOIN v b ON a.id < 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+COSINE = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e))"
+
+
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) under its own name, with an oracle."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.from_part(spark, sf_dir)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.build(_part(spark, sf_dir))
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    return pipeline.plain_queries(spark.createDataFrame(TEXTS, "query_id int, text string"))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(f"WITH {P} SELECT product_id, code, name, color, diameter, brand, category FROM p")
+def product_view(spark, sf_dir):
+    p = _part(spark, sf_dir)
+    return p.select("product_id", "code", "name", F.col("attributes")["color"].alias("color"), F.col("attributes")["diameter"].alias("diameter"), "brand", "category")
+
+
+@query(f"WITH {DOC} SELECT product_id, search_document FROM d")
+def search_document(spark, sf_dir):
+    return _docs(spark, sf_dir).select("product_id", "search_document")
+
+
+@query(f"""WITH {P} SELECT product_id, sha256('{{"v":"1.0.0","id":"' || product_id || '","code":"' || code || '","name":"' || name || '","attributes":[["color","' || color
+  || '"],["diameter","' || diameter || '"]],"brand":"' || brand || '","category":"' || category || '","subcategory":""}}') AS document_hash FROM p""")
+def document_hash(spark, sf_dir):
+    return _docs(spark, sf_dir).select("product_id", "document_hash")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(strip_accents(lower(text)), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss') AS folded FROM documents")
+def fold_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query(f"WITH {P} SELECT product_id, regexp_replace(upper(code || '-' || brand), '[^A-Z0-9]', '', 'g') AS canonical_code FROM p")
+def canonical_code(spark, sf_dir):
+    return _part(spark, sf_dir).select("product_id", T.canonical_code(F.concat("code", F.lit("-"), "brand")).alias("canonical_code"))
+
+
+@query(f"""WITH {P} SELECT product_id, x AS token, regexp_matches(upper(x), '^[A-Z0-9-]+$') AND regexp_matches(upper(x), '[A-Z]') AND regexp_matches(upper(x), '[0-9]')
+  AND length(replace(x, '-', '')) >= 4 AS code_shaped FROM (SELECT product_id, unnest([code, name, brand, diameter]) AS x FROM p)""")
+def code_shaped(spark, sf_dir):
+    p = _part(spark, sf_dir).select("product_id", F.explode(F.array("code", "name", "brand", F.col("attributes")["diameter"])).alias("token"))
+    return p.withColumn("code_shaped", T.is_code_shaped(F.col("token")))
+
+
+@query(f"WITH {P} SELECT product_id, 'dia ' || p_s || ' dia ' || p_s || ' ' || p_s || 'x45 2.5 kg' AS spelled FROM (SELECT product_id, split_part(diameter, ' ', 1) AS p_s FROM p)")
+def preprocess_text(spark, sf_dir):
+    n = F.split_part(F.col("attributes")["diameter"], F.lit(" "), F.lit(1))
+    return _part(spark, sf_dir).select("product_id", T.preprocess(F.concat(F.lit("Ø"), n, F.lit(" DN "), n, F.lit(" "), n, F.lit(" x 45 2,5 kg"))).alias("spelled"))
+
+
+@query(f"WITH {FIELD} SELECT product_id, field, (row_number() OVER (PARTITION BY product_id, field ORDER BY pos) - 1)::INT AS pos, term, kind, is_variant FROM occ")
+def analyze_terms(spark, sf_dir):
+    found = lexical.occurrences(_docs(spark, sf_dir))
+    return found
+
+
+@query(f"WITH {FIELD} SELECT product_id, term, is_variant, pos::INT AS pos FROM occ WHERE field = 0")
+def analyze_code(spark, sf_dir):
+    return lexical.occurrences(_docs(spark, sf_dir)).where("field = 0").select("product_id", "term", "is_variant", "pos")
+
+
+@query(f"WITH {FIELD} SELECT product_id, field::INT AS field, term, tf FROM tf")
+def term_frequencies(spark, sf_dir):
+    return lexical.term_frequencies(lexical.occurrences(_docs(spark, sf_dir))).select("product_id", F.col("field").cast("int").alias("field"), "term", "tf")
+
+
+@query(f"WITH {FIELD} SELECT product_id, field::INT AS field, length FROM len")
+def field_lengths(spark, sf_dir):
+    return lexical.field_lengths(lexical.occurrences(_docs(spark, sf_dir)))
+
+
+@query(f"WITH {FIELD} SELECT field::INT AS field, round(avg_length, 6) AS avg_length FROM av")
+def avg_field_lengths(spark, sf_dir):
+    return lexical.average_lengths(lexical.field_lengths(lexical.occurrences(_docs(spark, sf_dir)))).withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query(f"WITH {FIELD} SELECT term, df FROM df")
+def doc_frequency(spark, sf_dir):
+    return lexical.build_index(_docs(spark, sf_dir)).term_stats
+
+
+@query(f"WITH {FIELD} SELECT term, round(ln(1 + ((SELECT count(*) FROM p) - df + 0.5) / (df + 0.5)), 6) AS idf FROM df")
+def idf(spark, sf_dir):
+    index = lexical.build_index(_docs(spark, sf_dir))
+    n = index.corpus.select("n")
+    value = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return index.term_stats.join(F.broadcast(n), F.lit(True)).select("term", F.round(value, 6).alias("idf"))
+
+
+@query(f"WITH {FIELD} SELECT term, df FROM df WHERE df >= 2 AND length(term) >= 3 AND regexp_matches(term, '[a-z]') ORDER BY df DESC, term LIMIT 10000")
+def vocabulary_topn(spark, sf_dir):
+    return lexical.vocabulary(lexical.build_index(_docs(spark, sf_dir)).term_stats)
+
+
+@query("""SELECT doc_id, count(*) AS words FROM (SELECT doc_id, unnest(regexp_extract_all(replace(replace(replace(replace(strip_accents(lower(text)), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'),
+  '[a-z]+')) AS w FROM documents) WHERE w NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ") GROUP BY doc_id")
+def stopword_filter(spark, sf_dir):
+    words = F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z]+"), F.lit(0))
+    w = _table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).where(~F.col("w").isin(T.STOPWORDS))
+    return w.groupBy("doc_id").agg(F.count("*").alias("words"))
+
+
+@query(f"WITH {SCORE} SELECT query_id, product_id, round(bm25f, 6) AS bm25f FROM lex")
+def bm25f_score(spark, sf_dir):
+    index = lexical.build_index(_docs(spark, sf_dir))
+    s = lexical.score_terms(lexical.query_terms(_texts(spark)), index)
+    return s.select("query_id", "product_id", F.round("bm25f", 6).alias("bm25f"))
+
+
+@query(f"WITH {SCORE} SELECT query_id, product_id, numeric::DOUBLE AS numeric FROM lex WHERE numeric > 0")
+def numeric_boost(spark, sf_dir):
+    index = lexical.build_index(_docs(spark, sf_dir))
+    return lexical.score_terms(lexical.query_terms(_texts(spark)), index).where("numeric > 0").select("query_id", "product_id", "numeric")
+
+
+@query(f"WITH {SCORE} SELECT query_id, product_id, rank::INT AS rank, round(score, 6) AS score, exact::DOUBLE AS exact, prefix::DOUBLE AS prefix FROM rk WHERE rank <= 50 AND score > 1e-9")
+def bm25f_topk(spark, sf_dir):
+    hits = lexical.search(_texts(spark), lexical.build_index(_docs(spark, sf_dir)))
+    return hits.select("query_id", "product_id", "rank", F.round("score", 6).alias("score"), "exact", "prefix")
+
+
+@query(f"WITH {SCORE} SELECT query_id, code, product_id FROM ex")
+def exact_code_boost(spark, sf_dir):
+    return lexical.exact_codes(lexical.query_codes(_texts(spark)), lexical.build_index(_docs(spark, sf_dir)))
+
+
+@query(f"WITH {SCORE} SELECT query_id, product_id FROM px")
+def code_prefix_join(spark, sf_dir):
+    return lexical.prefix_codes(lexical.query_codes(_texts(spark)), lexical.build_index(_docs(spark, sf_dir)))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+  SELECT vec_id, (unnest(range(len(e))))::INT AS k, round(unnest(e) / sqrt(list_inner_product(e, e)), 6) AS x FROM v""")
+def l2_normalize(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("k", "x")).withColumn("x", F.round("x", 6))
+
+
+def _nearest(spark, sf_dir, metric):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector.top_k(e.where("id < 10").withColumnRenamed("id", "query_id"), e, 50, metric)
+
+
+@query(f"WITH {VEC.format(COSINE)} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50")
+def cosine_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {VEC.format('list_inner_product(a.e, b.e)')} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50")
+def inner_product_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "inner_product").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {VEC.format(COSINE)} SELECT query_id, id, rank::INT AS rank FROM r WHERE rank <= 50 AND score >= 0.15")
+def min_score_filter(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine").where("score >= 0.15").select("query_id", "id", "rank")
+
+
+@query(f"WITH {FEATURE} SELECT product_id, feature, round(weight, 6) AS weight, idx, sign::DOUBLE AS sign FROM fx")
+def hash_features(spark, sf_dir):
+    f = vector.hash_features(_part(spark, sf_dir).select(F.col("product_id").alias("id"), F.col("name").alias("text")), DIM)
+    return f.select(F.col("id").alias("product_id"), "feature", F.round("weight", 6).alias("weight"), "idx", "sign")
+
+
+@query(f"""WITH {FEATURE}, s AS (SELECT product_id, idx, sum(sign * weight) AS v FROM fx GROUP BY ALL)
+  SELECT product_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY product_id)), 6) AS x FROM s WHERE abs(v) > 1e-9""")
+def hash_embedding(spark, sf_dir):
+    e = vector.hash_embed(_part(spark, sf_dir).select(F.col("product_id").alias("id"), F.col("name").alias("text")), DIM)
+    x = e.select(F.col("id").alias("product_id"), F.posexplode("vector").alias("idx", "x")).where(F.abs("x") > 1e-9)
+    return x.withColumn("x", F.round("x", 6))
+
+
+HITS = SCORE + """, hits AS (SELECT query_id, 'bm25' AS source, product_id, score, rank FROM rk WHERE rank <= 50 AND score > 1e-9
+  UNION ALL SELECT query_id, 'vector', product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) FROM (
+    SELECT query_id, product_id, bm25f AS score FROM (SELECT query_id, product_id, round(bm25f, 9) AS bm25f, row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS n FROM lex) WHERE n % 3 = 0 AND n <= 90)),
+fu AS (SELECT query_id, product_id, round(sum((CASE source WHEN 'bm25' THEN {0} ELSE {1} END) / (60 + rank)), 12) AS rrf_score, max(CASE WHEN source = 'bm25' THEN rank END)::INT AS bm25_rank,
+  max(CASE WHEN source = 'vector' THEN rank END)::INT AS vector_rank FROM hits GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, product_id)::INT AS rrf_rank FROM fu)
+SELECT query_id, product_id, round(rrf_score, 9) AS rrf_score, rrf_rank, bm25_rank, vector_rank FROM fr WHERE rrf_rank <= 50"""
+
+
+def _fused(spark, sf_dir, weights=None):
+    """Lexical hits fused with a second list made from every third of the first 90 scored products, which SQL can make too."""
+    from pyspark.sql import Window
+
+    index = lexical.build_index(_docs(spark, sf_dir))
+    lex = lexical.search(_texts(spark), index).select("query_id", F.lit("bm25").alias("source"), "product_id", "score")
+    second = lexical.score_terms(lexical.query_terms(_texts(spark)), index)
+    second = second.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id"))).where("n % 3 = 0 and n <= 90")
+    second = second.select("query_id", F.lit("vector").alias("source"), "product_id", F.round("bm25f", 9).alias("score"))
+    f = ranking.fuse(ranking.rank_hits(lex.unionByName(second)), weights)
+    return f.select("query_id", "product_id", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank", "bm25_rank", "vector_rank")
+
+
+@query("WITH " + HITS.format("1.0", "1.0"))
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir)
+
+
+@query("WITH " + HITS.format("2.0", "0.5"))
+def weighted_rrf(spark, sf_dir):
+    return _fused(spark, sf_dir, {"bm25": 2.0, "vector": 0.5})
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    return pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir))
+
+
+@query()
+def hybrid_search_weighted(spark, sf_dir):
+    return pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir), "weighted", 20)
+
+
+OVERLAP = DOC + """, q AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in TEXTS) + """) AS v(query_id, text)),
+o AS (SELECT query_id, product_id, greatest(0, least(1, len(list_intersect(list_distinct(string_split(text, ' ')), w)) / len(list_distinct(string_split(text, ' ')))::DOUBLE * 0.85 / (1 + len(w) * 0.02) + 0.05)) AS score
+  FROM q JOIN (SELECT product_id, name, list_filter(regexp_split_to_array(lower(search_document), '[^a-zà-ÿ0-9]+'), lambda x: x <> '') AS w FROM d) x ON starts_with(x.name, split_part(q.text, ' ', 1)))"""
+
+
+def _overlap(spark, sf_dir):
+    q = _texts(spark).select("query_id", "text", F.split_part("text", F.lit(" "), F.lit(1)).alias("head"))
+    d = _docs(spark, sf_dir).select("product_id", "search_document", F.split_part("name", F.lit(" "), F.lit(1)).alias("head"))
+    return d.join(F.broadcast(q), "head").withColumn("rerank_score", F.round(ranking.overlap_score(F.col("text"), F.col("search_document")), 9))
+
+
+@query(f"WITH {OVERLAP} SELECT query_id, product_id, round(score, 6) AS rerank_score FROM o")
+def overlap_rerank(spark, sf_dir):
+    return _overlap(spark, sf_dir).select("query_id", "product_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(f"""WITH {OVERLAP} SELECT * FROM (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, length(product_id) DESC, product_id)::INT AS final_rank FROM o) WHERE final_rank <= 10""")
+def reranker_first_policy(spark, sf_dir):
+    s = _overlap(spark, sf_dir).withColumn("rrf_score", F.length("product_id").cast("double"))
+    return ranking.limit(ranking.reranker_first(s)).select("query_id", "product_id", "final_rank")
+
+
+@query(f"""WITH {OVERLAP}, b AS (SELECT o.query_id, o.product_id, round(o.score, 9) AS rerank, substr(o.product_id, 2)::DOUBLE AS bm25 FROM o),
+  n AS (SELECT *, CASE WHEN max(rerank) OVER w > min(rerank) OVER w THEN (rerank - min(rerank) OVER w) / (max(rerank) OVER w - min(rerank) OVER w) ELSE 0 END AS r,
+    CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0 END AS l FROM b WINDOW w AS (PARTITION BY query_id))
+  SELECT * FROM (SELECT query_id, product_id, round(0.2 * l + 0.4 * r, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.2 * l + 0.4 * r, 9) DESC, product_id)::INT AS final_rank FROM n) WHERE final_rank <= 10""")
+def weighted_policy(spark, sf_dir):
+    s = _overlap(spark, sf_dir).withColumns({"bm25_score": F.substring("product_id", 2, 20).cast("double"), "vector_score": F.lit(None).cast("double"), "rrf_score": F.lit(0.0)})
+    return ranking.limit(ranking.weighted(s)).select("query_id", "product_id", F.round("final_score", 6).alias("final_score"), "final_rank")
+
+
+def _evaluated(spark, sf_dir):
+    """Cosine neighbours as results; vectors of the query's label are relevant, those with an even id more so."""
+    near = _nearest(spark, sf_dir, "cosine").withColumnRenamed("id", "product_id")
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    gold = e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("product_id"), F.when(F.col("vec_id") % 2 == 0, 3.0).otherwise(1.0).alias("label"))
+    return near, gold
+
+
+EVAL = VEC.format(COSINE) + """, g AS (SELECT query_id, id, CASE WHEN id % 2 = 0 THEN 3.0 ELSE 1.0 END AS label FROM s WHERE la = lb),
+i AS (SELECT query_id, sum((pow(2, label) - 1) / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, id) AS n FROM g) WHERE n <= 10 GROUP BY query_id),
+t AS (SELECT query_id, count(*) AS rel FROM g GROUP BY query_id),
+h AS (SELECT query_id, count(*) AS found, min(rank) AS fst, sum((pow(2, label) - 1) / log2(rank + 1)) AS dcg FROM r JOIN g USING (query_id, id) WHERE rank <= 10 GROUP BY query_id),
+m AS (SELECT query_id, coalesce(found, 0) / rel::DOUBLE AS recall, coalesce(1.0 / fst, 0) AS mrr, coalesce(dcg, 0) / idcg AS ndcg FROM t LEFT JOIN h USING (query_id) LEFT JOIN i USING (query_id))"""
+
+
+def _metric(name):
+    def f(spark, sf_dir):
+        return evaluation.per_query(*_evaluated(spark, sf_dir)).select("query_id", F.round(name, 6).alias(name))
+
+    f.__name__ = f"{name}_at_k"
+    return query(f"WITH {EVAL} SELECT query_id, round({name}, 6) AS {name} FROM m")(f)
+
+
+recall_at_k, mrr_at_k, ndcg_at_k = (_metric(n) for n in ("recall", "mrr", "ndcg"))
+
+
+@query(f"WITH {EVAL} SELECT round(avg(recall), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_at_10, round(avg(ndcg), 6) AS ndcg_at_10, count(*) AS queries FROM m")
+def metric_summary(spark, sf_dir):
+    s = evaluation.summary(*_evaluated(spark, sf_dir), ks=(10,))
+    return s.select(*[F.round(c, 6).alias(c) for c in ("recall_at_10", "mrr_at_10", "ndcg_at_10")], "queries")
+
+
+@query(f"WITH {EVAL} SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM r JOIN g USING (query_id, id) WHERE r.query_id = t.query_id AND rank <= 50) THEN 1.0 ELSE 0.0 END), 3) AS coverage FROM t")
+def candidate_coverage(spark, sf_dir):
+    return evaluation.coverage(*_evaluated(spark, sf_dir))
+
+
+RULES = [(q, rule, label) for q, name, mm in (("red widget 28", "red widget", 28), ("small ring 11", "small ring", 11), ("hot gear 37", "hot gear", 37))
+         for rule, label in ((f"name = '{name}' and attributes['diameter'] = '{mm} mm'", 4), (f"name = '{name}'", 2))]
+
+
+@query(f"WITH {P}, r AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query, product_id, {label}.0 AS label FROM p WHERE {rule.replace(chr(97) + 'ttributes[' + chr(39) + 'diameter' + chr(39) + ']', 'diameter')}" for q, rule, label in RULES)
+       + ") SELECT query, product_id, max(label)::DOUBLE AS label FROM r GROUP BY ALL")
+def gold_labels(spark, sf_dir):
+    return S.gold_from_rules(_part(spark, sf_dir), RULES)
+
+
+@query(f"WITH {P} SELECT product_id FROM p WHERE substr(product_id, 2)::INT % 7 = 0")
+def stale_anti_join(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return maintenance.stale(d, d.where(F.substring("product_id", 2, 20).cast("int") % 7 != 0)).select("product_id")
+
+
+@query(f"WITH {P} SELECT product_id, CASE WHEN substr(product_id, 2)::INT % 5 = 0 THEN 'new ' || name ELSE name END AS name FROM p")
+def upsert_merge(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("product_id", "name")
+    changed = d.where(F.substring("product_id", 2, 20).cast("int") % 5 == 0).withColumn("name", F.concat(F.lit("new "), "name"))
+    return S.merge(d, changed, "product_id")
+
+
+@query(f"WITH {P} SELECT product_id, substr(product_id, 2)::INT % 3 <> 0 AND substr(product_id, 2)::INT % 4 <> 0 AS reuse FROM p")
+def embedding_reuse(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    n = F.substring("product_id", 2, 20).cast("int")
+    stored = d.where(n % 3 != 0).select("product_id", F.lit("m1").alias("model_version"), F.when(n % 4 == 0, "old").otherwise(F.col("document_hash")).alias("document_hash"))
+    return maintenance.embedding_plan(d, stored, "m1").select("product_id", "reuse")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
+def orphan_semi_join(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("vec_id"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id").join(part, "vec_id", "left_semi")
+
+
+@query(f"WITH {P} SELECT 'P' || lpad((p_partkey * 2)::VARCHAR, 6, '0') AS product_id, p.name FROM part JOIN p ON p.product_id = 'P' || lpad((p_partkey * 2)::VARCHAR, 6, '0')")
+def hydrate_left_join(spark, sf_dir):
+    hits = _table(spark, sf_dir, "part").select(F.format_string("P%06d", F.col("p_partkey") * 2).alias("product_id"))
+    return ranking.hydrate(hits, _docs(spark, sf_dir).select("product_id", "name"))[0]
+
+
+def _at(share: float) -> str:
+    return f"max(CASE WHEN k = least(n - 1, floor({share} * n)) THEN value END)"
+
+
+ORDERED = "(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)"
+
+
+@query(f"""SELECT event_type, {_at(0.5)} AS p50, {_at(0.9)} AS p90, {_at(0.99)} AS p99, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max,
+  round(CASE WHEN avg(value) > 0 THEN 1000 / avg(value) ELSE 0 END, 6) AS qps FROM {ORDERED} GROUP BY event_type""")
+def latency_summary(spark, sf_dir):
+    s = evaluation.latency_summary(_table(spark, sf_dir, "events"), "value", ["event_type"])
+    return s.withColumns({"mean": F.round("mean", 6), "qps": F.round("qps", 6)})
+
+
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY event_type")
+def log_percentiles(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("p90"))
+
+
+@query("SELECT p_name AS query, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 25")
+def top_queries(spark, sf_dir):
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(25)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    return E.tumbling(_table(spark, sf_dir, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
+  s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_session(spark, sf_dir):
+    s = E.sessions(_table(spark, sf_dir, "events"))
+    return s.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
