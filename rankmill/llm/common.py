@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the contracts of word-based operators define it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -46,21 +49,39 @@ def checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankmill-checkpoint-"))
 
 
-def sub_batches(frames: Iterator[pd.DataFrame], column: str, limit: int = 4 << 20) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Cuts Arrow batches into runs of whole rows of about limit bytes, with that column's UTF-8 texts.
+def map_texts(
+    docs: DataFrame, text_col: str, carry: list[str], compute: Callable[[list[bytes | None]], dict[str, Sequence]], fields: str, limit: int = 4 << 20,
+    at_end: Callable[[], None] | None = None,
+) -> DataFrame:
+    """The columns in carry and, for each row, the columns (fields: a schema string) that compute makes of whole texts.
 
-    Bounds what an operator holds at once to limit bytes or one text, whichever is larger.
+    compute gets the UTF-8 texts (None for null) of a run of rows and returns as many values for each new column. A run holds
+    about limit bytes or one text, whichever is larger; Arrow batches are cut into such runs before any text becomes a Python
+    object. The columns in carry pass through as they are. at_end runs after a task's last row: Python workers outlive their
+    tasks, and what one operator remembers is memory that the next one lacks.
     """
-    for frame in frames:
-        texts = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in frame[column].array]
-        start = used = 0
-        for i, text in enumerate(texts):
-            if used and used + len(text) > limit:
-                yield frame.iloc[start:i], texts[start:i]
-                start, used = i, 0
-            used += len(text)
-        if start < len(texts):
-            yield frame.iloc[start:], texts[start:]
+    kept = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("__text"))
+    kinds = to_arrow_schema(StructType.fromDDL(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+            low = 0
+            while low < batch.num_rows:
+                done = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
+                piece = batch.slice(low, high - low)
+                made = compute(piece.column(piece.num_columns - 1).cast(pa.large_binary()).to_pylist())
+                new = [pa.array(made[f.name], type=f.type, from_pandas=True) for f in kinds]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=[*carry, *kinds.names])
+                low = high
+        if at_end is not None:
+            at_end()
+        pa.default_memory_pool().release_unused()
+
+    same = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(fields).fields])
+    return kept.mapInArrow(run, same)
 
 
 def popcount(values: np.ndarray) -> np.ndarray:

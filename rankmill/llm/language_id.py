@@ -12,15 +12,13 @@ fixed cost; the trees are compiled into flat tables and scoring is two table loo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, sub_batches
+from .common import id_remainder, map_texts
 
 #: Longest context in bytes.
 ORDER = 3
@@ -178,32 +176,28 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", carry: li
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS, MAX_SYMBOLS and MAX_LANGUAGES
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(raw: list[bytes | None]) -> dict:
         m = shared.value
-        for frame, texts in sub_batches(frames, "__text"):
-            out = frame.drop(columns="__text")
-            lettered = np.array([x is not None and LETTER.search(x) is not None for x in frame["__text"].array], dtype=bool)
-            bits = m.code_lengths(texts)
-            size = np.maximum(np.array([len(t) for t in texts]), 1)
-            if bits.shape[1]:
-                best = bits.argmin(1)
-                each = bits / size[:, None]
-                least = each[np.arange(len(best)), best]
-                weight = np.minimum(size, EVIDENCE_BYTES)[:, None]
-                sure = 1 / np.exp2(-(each - least[:, None]) * weight).sum(1)
-                names = np.array(m.languages, dtype=object)[best]
-            else:
-                lettered[:] = False
-                least, sure, names = np.zeros(len(size)), np.zeros(len(size)), np.full(len(size), "und", dtype=object)
-            out = out.assign(
-                lang_pred=np.where(lettered, names, "und"), score=np.where(lettered, sure, 0.0), bits_per_byte=np.where(lettered, least, np.nan)
-            )
-            yield out
-
-    kept = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "__text")
-    scored = kept.mapInPandas(score, f"{fields}, lang_pred string, score double, bits_per_byte double")
-    return scored.withColumn("bits_per_byte", F.when(F.isnan("bits_per_byte"), None).otherwise(F.col("bits_per_byte")))
+        lettered = np.array([x is not None and LETTER.search(x.decode()) is not None for x in raw], dtype=bool)
+        texts = [x or b"" for x in raw]
+        bits = m.code_lengths(texts)
+        size = np.maximum(np.array([len(t) for t in texts]), 1)
+        if bits.shape[1]:
+            best = bits.argmin(1)
+            each = bits / size[:, None]
+            least = each[np.arange(len(best)), best]
+            weight = np.minimum(size, EVIDENCE_BYTES)[:, None]
+            sure = 1 / np.exp2(-(each - least[:, None]) * weight).sum(1)
+            names = np.array(m.languages, dtype=object)[best]
+        else:
+            lettered[:] = False
+            least, sure, names = np.zeros(len(size)), np.zeros(len(size)), np.full(len(size), "und", dtype=object)
+        return {
+            "lang_pred": np.where(lettered, names, "und"), "score": np.where(lettered, sure, 0.0),
+            "bits_per_byte": [float(x) if ok else None for x, ok in zip(least, lettered, strict=True)],
+        }
+
+    return map_texts(docs, text_col, carry, score, "lang_pred string, score double, bits_per_byte double")
 
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:

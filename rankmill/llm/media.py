@@ -12,14 +12,11 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import map_texts
 
 #: Payloads are padded with this byte to a positive multiple of GRAIN.
 PAD, GRAIN = 255, 576
@@ -113,14 +110,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hashes", "times"]
     names += ["media"] * keep_media
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in sub_batches(frames, "__text", 1 << 20):
-            rows = [describe(t) for t in texts]
-            yield pd.DataFrame({"__id": frame["__id"].array} | {n: [r[n] for r in rows] for n in names})
+    def run(texts: list[bytes | None]) -> dict:
+        rows = [describe(t or b"") for t in texts]
+        return {n: [r[n] for r in rows] for n in names}
 
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    schema = (
-        f"__id {dict(source.dtypes)['__id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, hashes array<int>, times array<int>" + ", media binary" * keep_media
+    made = (
+        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+        "feature string, hashes array<int>, times array<int>" + ", media binary" * keep_media
     )
-    return source.mapInPandas(run, schema).withColumnRenamed("__id", id_col)
+    return map_texts(docs, text_col, [id_col], run, made, 1 << 20)

@@ -1,7 +1,7 @@
 """Quality rules: repetition and length rules, then a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Words and pairs of neighbouring words are hashed to BUCKETS buckets. Counts over the trusted texts and over all texts give two
-smoothed multinomials; a text's score is the mean over its n-grams of log P(trusted) - log P(raw). Texts whose score is
+multinomials, the trusted one smoothed towards the raw one; a text's score is the mean over its n-grams of log P(trusted) - log P(raw). Texts whose score is
 below THRESHOLD are rejected: a fixed number, so every document's verdict is deterministic.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, text_or_empty
 
-BUCKETS, SMOOTHING, THRESHOLD = 10_000, 1.0, -0.12
+BUCKETS, PRIOR, THRESHOLD = 10_000, 10_000.0, -0.12
 #: The fit's documented bound: trusted texts that are counted.
 TRUSTED = 20_000
 #: Base rules: fewest words, largest percentage of words in repeated windows, words of a window.
@@ -90,9 +90,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
     grams = split.select("good", F.explode(buckets(F.col("__words"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("raw"))
     sums = counts.agg(F.sum("good").alias("all_good"), F.sum("raw").alias("all_raw"))
-    own = F.log((F.col("good") + SMOOTHING) / (F.col("all_good") + SMOOTHING * BUCKETS))
-    raw = F.log((F.col("raw") + SMOOTHING) / (F.col("all_raw") + SMOOTHING * BUCKETS))
-    return counts.join(F.broadcast(sums), F.lit(True)).select("bucket", F.when(F.col("all_good") > 0, own - raw).otherwise(0.0).alias("ratio"))  # one row
+    # The trusted multinomial is smoothed by PRIOR n-grams dealt like the raw ones: with few trusted texts ratios near 0.
+    raw = F.col("raw") / F.col("all_raw")
+    own = (F.col("good") + PRIOR * raw) / (F.col("all_good") + PRIOR)
+    return counts.join(F.broadcast(sums), F.lit(True)).select("bucket", F.log(own / raw).alias("ratio"))  # sums: one row
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     df = with_base(docs.select(F.col(id_col), F.col(text_col)), text_col)
     df = df.withColumn("__b", buckets(F.col("__words"))).withColumn("__w", weights)
     total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get(F.col("__w"), b.cast("int")))
-    df = df.withColumn("score", F.round(total / F.size("__b"), 9))
+    df = df.withColumn("score", F.when(F.size("__b") > 0, F.round(total / F.size("__b"), 9)))
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= THRESHOLD)
     return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
 

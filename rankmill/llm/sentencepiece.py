@@ -20,14 +20,13 @@ import heapq
 import os
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import map_texts
 
 DEFAULT_MODEL = os.environ.get("RANKMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -36,7 +35,7 @@ N_BEST = 4
 #: Score of a character spelled in bytes: below every piece's.
 BYTES_SCORE = -100_000.0
 #: Parts a Python worker remembers, in each of two halves.
-REMEMBER = 200_000
+REMEMBER = 120_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
 
@@ -204,6 +203,10 @@ class Pieces:
         differ = [[(k, np.frombuffer(lists[k][rank][1], np.int32)) for k, rank in edits] for _, edits in mixed]
         return np.frombuffer(b"".join(ids), np.int32), [total - loss for loss, _ in mixed], differ
 
+    def forget(self) -> None:
+        """Drops what has been solved."""
+        self.known, self.older, self.lists = {}, {}, {}
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the leading space taken off."""
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
@@ -220,7 +223,7 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(path: str = DEFAULT_MODEL) -> Pieces:
-    """The vocabulary in this Python process; workers keep it, and what they have solved, between tasks."""
+    """The vocabulary in this Python process; workers keep it between tasks."""
     if path not in _loaded:
         _loaded[path] = Pieces(path)
     return _loaded[path]
@@ -235,22 +238,25 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     """
     carry = docs.columns if carry is None else carry
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[bytes | None]) -> dict:
         vocabulary = pieces(path)
         gc.disable()  # nothing here is cyclic; collection passes over the remembered parts took a third of the time
-        for frame, texts in sub_batches(frames, "__text", 1 << 20):
-            rows = []
+        out: dict[str, list] = {k: [] for k in ("n_pieces", "piece_ids", "nbest_scores", "nbest_edits", "round_trip")}
+        try:
             for raw in texts:
-                text = raw.decode("utf-8", "surrogatepass")
+                text = (raw or b"").decode()
                 ids, scores, edits = vocabulary.encode(text, n)
-                rows.append((len(ids), ids, scores, [[{"part": k, "ids": x} for k, x in e] for e in edits], vocabulary.decode(ids) == text))
-            added = pd.DataFrame(rows, columns=["n_pieces", "piece_ids", "nbest_scores", "nbest_edits", "round_trip"], index=frame.index)
-            yield pd.concat([frame.drop(columns="__text"), added], axis=1)
+                out["n_pieces"].append(len(ids))
+                out["piece_ids"].append(ids)
+                out["nbest_scores"].append(scores)
+                out["nbest_edits"].append([[{"part": k, "ids": x} for k, x in e] for e in edits])
+                out["round_trip"].append(vocabulary.decode(ids) == text)
+        finally:
+            gc.enable()
+        return out
 
-    kept = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "__text")
     made = "n_pieces long, piece_ids array<int>, nbest_scores array<double>, nbest_edits array<array<struct<part: int, ids: array<int>>>>, round_trip boolean"
-    return kept.mapInPandas(run, f"{fields}, {made}")
+    return map_texts(docs, text_col, carry, run, made, 1 << 20, lambda: pieces(path).forget())
 
 
 def sentencepiece_nbest(docs: DataFrame) -> DataFrame:

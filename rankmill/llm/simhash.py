@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, popcount, sub_batches
+from .common import checkpoint_dir, map_texts, popcount
 
 #: Largest Hamming distance of a link, and the positional bytes that such a pair shares at least.
 BITS, MIN_SHARED = 4, 4
@@ -75,14 +75,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     """Adds `__fp` (long: the 64 bits, signed) to the columns in carry. Null texts count as empty: zero."""
     carry = docs.columns if carry is None else carry
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, texts in sub_batches(frames, "__text"):
-            values = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield frame.drop(columns="__text").assign(__fp=values)
+    def run(texts: list[bytes | None]) -> dict:
+        return {"__fp": np.array([fingerprint(t or b"") for t in texts], dtype=np.uint64).view(np.int64)}
 
-    kept = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "__text")
-    return kept.mapInPandas(run, f"{fields}, __fp long")
+    return map_texts(docs, text_col, carry, run, "__fp long")
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and word beginnings of PREFIXES characters, so inflected and compounded forms meet their
-stem. From a bounded sample of labelled texts up to TERMS terms most associated with label 1 (chi-square, chosen one by one) are kept; each sampled
-text is an example with a unit TF-IDF vector over them. Examples are indexed by term in posting blocks of BLOCK
+stem. From a bounded sample of labelled texts the terms most associated with label 1 are kept (chi-square, chosen one by
+one, TERMS at most); each sampled text is an example with a unit TF-IDF vector over them. Examples are indexed by term in posting blocks of BLOCK
 consecutive examples that hold the largest weight in the block. A query visits blocks by falling upper bound (the sum
 over its terms of query weight times block maximum) and stops once its K-th best cosine is no less than the next bound,
 so the K nearest are exact. Votes weigh cosine times how many labelled rows an example stands for; the vote share is
@@ -14,24 +14,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, sub_batches
+from .common import id_remainder, map_texts
 
 #: The fit's documented bounds: labelled rows of each label and bytes of such a text.
 SAMPLE = {1: 1500, 0: 2500}
 SAMPLE_TEXT_BYTES = 1 << 16
 TERMS, PREFIXES, MIN_ROWS, BLOCK, K = 160, range(3, 9), 6, 64, 25
-#: Smallest share of label 1 among the (reweighted) sampled rows with a term.
+#: Smallest share of label 1 among the labelled rows with a term, as the sample shows it.
 MIN_SHARE = 0.75
 #: Distinct query vectors whose result a Python worker remembers.
-REMEMBER = 50_000
+REMEMBER = 20_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -157,7 +155,7 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> Toxicit
 
     while open_ and len(chosen) < TERMS:
         held = {t: float(part[r].sum()) for t, r in open_.items()}
-        open_ = {t: r for t, r in open_.items() if held[t] >= MIN_ROWS and held[t] * up1 >= MIN_SHARE * (held[t] * up1 + seen[0][t] * up0)}
+        open_ = {t: r for t, r in open_.items() if held[t] >= MIN_ROWS}
         if not open_:
             break
         best = min(open_, key=lambda t: (-chi_square(t, held[t]), -len(t), t))
@@ -219,26 +217,23 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and TERMS
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = shared.value, {}
-        for frame, _ in sub_batches(frames, "__text"):
-            scores, evidence = [], []
-            for text in frame["__text"].array:
-                v = m.vector(text) if text else {}
-                key = tuple(v.items())
-                if key not in known:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    score, found = m.score(v)
-                    known[key] = score, [m.ids[e] for e in found[:5]]
-                score, ids = known[key]
-                scores.append(score)
-                evidence.append(ids)
-            yield frame.drop(columns="__text").assign(score=scores, predicted=[int(s >= 0.5) for s in scores], evidence=evidence)
-
-    kept = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "__text")
-    return kept.mapInPandas(run, f"{fields}, score double, predicted int, evidence array<string>")
+    known: dict[tuple, tuple[float, list[str]]] = {}
+
+    def run(texts: list[bytes | None]) -> dict:
+        m, scores, evidence = shared.value, [], []
+        for text in texts:
+            v = m.vector(text.decode()) if text else {}
+            key = tuple(v.items())
+            if key not in known:
+                if len(known) >= REMEMBER:
+                    known.clear()
+                score, found = m.score(v)
+                known[key] = score, [m.ids[e] for e in found[:5]]
+            scores.append(known[key][0])
+            evidence.append(known[key][1])
+        return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence}
+
+    return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
