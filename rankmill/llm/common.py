@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -50,7 +52,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def map_texts(
-    docs: DataFrame, text_col: str, carry: list[str], compute: Callable[[list[bytes | None]], dict[str, Sequence]], fields: str, limit: int = 4 << 20,
+    docs: DataFrame, text_col: str, carry: list[str], compute: Callable[[list[bytes | None]], dict[str, Sequence]], fields: str, limit: int = 1 << 20,
     at_end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """The columns in carry and, for each row, the columns (fields: a schema string) that compute makes of whole texts.
@@ -79,11 +81,18 @@ def map_texts(
         if at_end is not None:
             at_end()
         pa.default_memory_pool().release_unused()
+        _trim()
 
     same = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(fields).fields])
     return kept.mapInArrow(run, same)
 
 
+def _trim() -> None:
+    """Gives the C library's free memory back to the system, where the library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def popcount(values: np.ndarray) -> np.ndarray:
     """Set bits of each unsigned 64-bit value."""
     return np.bitwise_count(values)

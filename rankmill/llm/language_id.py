@@ -53,7 +53,7 @@ class PpmModel:
         ends = np.cumsum(lengths + ORDER)
         starts = ends - lengths
         symbol = self.symbols[data]
-        piece = 1 << 20  # positions at a time
+        piece = 1 << 18  # positions at a time
         for low in range(ORDER, len(data), piece):
             high = min(low + piece, len(data))
             context = np.zeros(high - low, dtype=np.int64)

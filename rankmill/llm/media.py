@@ -118,4 +118,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
         "feature string, hashes array<int>, times array<int>" + ", media binary" * keep_media
     )
-    return map_texts(docs, text_col, [id_col], run, made, 1 << 20)
+    return map_texts(docs, text_col, [id_col], run, made)

@@ -203,10 +203,6 @@ class Pieces:
         differ = [[(k, np.frombuffer(lists[k][rank][1], np.int32)) for k, rank in edits] for _, edits in mixed]
         return np.frombuffer(b"".join(ids), np.int32), [total - loss for loss, _ in mixed], differ
 
-    def forget(self) -> None:
-        """Drops what has been solved."""
-        self.known, self.older, self.lists = {}, {}, {}
-
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the leading space taken off."""
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
@@ -223,12 +219,17 @@ _loaded: dict[str, Pieces] = {}
 
 
 def pieces(path: str = DEFAULT_MODEL) -> Pieces:
-    """The vocabulary in this Python process; workers keep it between tasks."""
+    """The vocabulary in this Python process, with what it has solved; encode_column drops it after each task."""
     if path not in _loaded:
         _loaded[path] = Pieces(path)
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the vocabularies of this Python process."""
+    _loaded.clear()
+
+
 def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, n: int = N_BEST, path: str = DEFAULT_MODEL) -> DataFrame:
     """Adds n_pieces, piece_ids, nbest_scores, nbest_edits and round_trip to the columns in carry.
 
@@ -256,7 +257,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
         return out
 
     made = "n_pieces long, piece_ids array<int>, nbest_scores array<double>, nbest_edits array<array<struct<part: int, ids: array<int>>>>, round_trip boolean"
-    return map_texts(docs, text_col, carry, run, made, 1 << 20, lambda: pieces(path).forget())
+    return map_texts(docs, text_col, carry, run, made, at_end=forget)
 
 
 def sentencepiece_nbest(docs: DataFrame) -> DataFrame:
