@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import documents, evaluation, lexical, maintenance, ranking, vector
+from ..functions import lexicon as L
+from ..operators import documents, evaluation, lexical, maintenance, normalizer, ranking, vector
 from ..sources import products as S
 from ..streaming import events as E
 from . import pipeline
@@ -455,3 +456,86 @@ def events_tumbling(spark, sf_dir):
 def events_session(spark, sf_dir):
     s = E.sessions(_table(spark, sf_dir, "events"))
     return s.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+
+
+SPELLED = sorted({*L.WORDS, *L.COLORS, *L.MATERIALS, *[w for g in L.SYNONYMS for w in g]})
+#: damerau_levenshtein may edit between swapped letters; such pairs at 2 go unless plain edits or a clean swap with one more edit explain them.
+NEAR = """v AS (SELECT unnest([""" + ", ".join(f"'{w}'" for w in SPELLED) + """]) AS word UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+m AS (SELECT w.word, v.word AS near, damerau_levenshtein(w.word, v.word) AS distance FROM (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM v)) w JOIN v
+  ON abs(length(w.word) - length(v.word)) <= 2 WHERE damerau_levenshtein(w.word, v.word) <= 2),
+n AS (SELECT * FROM m WHERE distance <= 1 OR levenshtein(word, near) <= 2 OR len(list_filter(flatten(list_transform(range(1, length(word)), lambda i: [[i, i - 1], [i, i], [i, i + 1]])), lambda p:
+  p[2] >= 1 AND substr(word, p[1]::BIGINT, 1) = substr(near, p[2]::BIGINT + 1, 1) AND substr(word, p[1]::BIGINT + 1, 1) = substr(near, p[2]::BIGINT, 1)
+  AND damerau_levenshtein(substr(word, 1, p[1]::BIGINT - 1), substr(near, 1, p[2]::BIGINT - 1)) + damerau_levenshtein(substr(word, p[1]::BIGINT + 2), substr(near, p[2]::BIGINT + 2)) <= 1)) > 0)
+SELECT word, min(near) AS closest, min(distance)::INT AS distance, count(*) AS ties FROM n WHERE distance = (SELECT min(distance) FROM n o WHERE o.word = n.word) GROUP BY word"""
+#: A letter dropped, two swapped, or the first dropped and one added.
+CUTS = "CASE k % 3 WHEN 0 THEN substr(x, 1, 2) || substr(x, 4, length(x)) WHEN 1 THEN substr(x, 1, 1) || substr(x, 3, 1) || substr(x, 2, 1) || substr(x, 4, length(x)) ELSE substr(x, 2, length(x)) || 'q' END"
+
+
+def _vocabulary(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+    return normalizer.vocabulary_of(names, spark)
+
+
+@query(f"WITH w AS (SELECT {CUTS} AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS x, p_partkey AS k FROM part)), {NEAR}")
+def typo_candidates(spark, sf_dir):
+    """Words of names with a letter dropped, two swapped, or one dropped and one added, against the names and the lexicon."""
+    w = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("x"), F.col("p_partkey").alias("k")).select(F.expr(CUTS).alias("word"))
+    return normalizer.closest_words(w, _vocabulary(spark, sf_dir))
+
+
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(replace(replace(replace(replace(strip_accents(lower(text)), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), '[a-z]{{4,}}')) AS word
+  FROM conversations), {NEAR}""")
+def closest_words(spark, sf_dir):
+    w = _table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    return normalizer.closest_words(w, _vocabulary(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, (unnest(range(len(w))))::INT AS k, unnest(w) AS token FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(
+    regexp_replace(substr(text, 1, 512), '([0-9])[,.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{L}\\p{N}\\x01-]+'),
+  lambda t: trim(replace(t, chr(1), '.'), '-')), lambda t: t <> '') AS w FROM conversations)""")
+def presplit_tokens(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(normalizer.presplit(normalizer.guard(F.col("text")))).alias("k", "token"))
+
+
+#: Query texts made from a part's size s and key k, one form for each remainder of k by six.
+FORMS = """CASE k % 6 WHEN 0 THEN 'tube Ø' || s || 'cm blnc' WHEN 1 THEN 'coude longueur ' || s || ' m PVC' WHEN 2 THEN 'AB ' || s || ' racord' WHEN 3 THEN 'goulotte ' || s || 'x' || n || ' gris'
+  WHEN 4 THEN 'evac ' || s || ',5 mm larg ' || s ELSE 'T-' || s || '-B' || n END"""
+PARTS = "SELECT p_partkey AS k, CAST(p_size AS VARCHAR(9)) AS s, p_size AS z, CAST(p_partkey % 90 + 1 AS VARCHAR(9)) AS n FROM part"
+
+
+def _formed(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("s"), (F.col("p_partkey") % 90 + 1).cast("string").alias("n"))
+    return p.select(F.col("k").alias("query_id"), F.expr(FORMS).alias("text"))
+
+
+@query(f"""SELECT k AS query_id, {FORMS} AS text,
+  CASE k % 6 WHEN 0 THEN 'tube ø' || s || 'cm blanc' WHEN 1 THEN 'coude longueur ' || s || ' m pvc' WHEN 2 THEN 'ab ' || s || ' raccord' WHEN 3 THEN 'goulotte ' || s || 'x' || n || ' gris'
+    WHEN 4 THEN 'évacuation ' || s || '.5 mm largeur ' || s ELSE 'T-' || s || '-B' || n END AS normalized,
+  CASE k % 6 WHEN 0 THEN 'tube tuyau o' || s || 'cm blnc blanc' WHEN 1 THEN 'coude longueur ' || s || ' m pvc' WHEN 2 THEN 'ab ' || s || ' racord raccord' || CASE WHEN z >= 10 THEN ' ab' || s ELSE '' END
+    WHEN 3 THEN 'goulotte ' || s || 'x' || n || ' ' || s || CASE WHEN s = n THEN '' ELSE ' ' || n END || ' gris'
+    WHEN 4 THEN 'evacuation assainissement ' || s || '.5 mm largeur ' || s ELSE 't-' || s || '-b' || n || ' t' || s || 'b' || n END AS tokens,
+  CASE WHEN k % 6 = 2 AND z >= 10 THEN 'AB' || s WHEN k % 6 = 5 THEN 'T' || s || 'B' || n ELSE '' END AS codes,
+  CASE WHEN k % 6 = 0 THEN z * 10 || ' mm' END AS diameter, CASE WHEN k % 6 = 1 THEN z * 1000 || ' mm' END AS length, CASE WHEN k % 6 = 4 THEN s END AS width,
+  CASE k % 6 WHEN 0 THEN 'blanc' WHEN 3 THEN 'gris' END AS color, CASE k % 6 WHEN 1 THEN 'PVC' END AS material FROM ({PARTS})""")
+def normalize_query_tokens(spark, sf_dir):
+    n = normalizer.normalize(_formed(spark, sf_dir))
+    value = lambda name: F.col("attribute_values")[name].alias(name)
+    return n.select("query_id", "text", "normalized", F.array_join("tokens", " ").alias("tokens"), F.array_join("codes", ",").alias("codes"), *[value(a) for a in ("diameter", "length", "width", "color", "material")])
+
+
+@query(f"""WITH t AS (SELECT k, {FORMS} AS text, s, n, z FROM ({PARTS}))
+  SELECT k AS query_id, 'blnc' AS word, 'blanc' AS becomes, 'typo' AS kind, 'typo:damerau-1' AS rule FROM t WHERE k % 6 = 0 UNION ALL SELECT k, 'racord', 'raccord', 'typo', 'typo:damerau-1' FROM t WHERE k % 6 = 2
+  UNION ALL SELECT k, 'AB ' || s, 'AB' || s, 'abbreviation', 'code:join' FROM t WHERE k % 6 = 2 AND z >= 10 UNION ALL SELECT k, 'tube', 'tuyau', 'synonym', 'synonym:group' FROM t WHERE k % 6 = 0
+  UNION ALL SELECT k, 'evac', 'évacuation', 'abbreviation', 'abbreviation:map' FROM t WHERE k % 6 = 4 UNION ALL SELECT k, 'evacuation', 'assainissement', 'synonym', 'synonym:group' FROM t WHERE k % 6 = 4
+  UNION ALL SELECT k, 'larg', 'largeur', 'abbreviation', 'abbreviation:map' FROM t WHERE k % 6 = 4""")
+def query_corrections(spark, sf_dir):
+    n = normalizer.normalize(_formed(spark, sf_dir)).select("query_id", F.explode("corrections").alias("c"))
+    return n.select("query_id", F.col("c.from").alias("word"), F.col("c.to").alias("becomes"), F.col("c.kind").alias("kind"), F.col("c.rule").alias("rule"))
+
+
+@query()
+def hybrid_search_normalized(spark, sf_dir):
+    products = _part(spark, sf_dir)
+    texts = spark.createDataFrame(TEXTS, "query_id int, text string")
+    return pipeline.hybrid_search(pipeline.normalized_queries(texts, products), products)

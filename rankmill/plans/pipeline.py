@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze
-from ..operators import documents, lexical, ranking, vector
+from ..operators import documents, lexical, normalizer, ranking, vector
 
 
 def plain_queries(queries: DataFrame) -> DataFrame:
     """(query_id, text) -> adds tokens, the distinct analyzed terms, and no codes. Texts beyond 512 characters are cut."""
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 512)
-    return queries.select("query_id", text.alias("text"), F.array_distinct(F.transform(analyze(text), lambda t: t["term"])).alias("tokens"), F.array().cast("array<string>").alias("codes"))
+    return normalizer.tokenize(queries)
+
+
+def normalized_queries(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, text) -> (query_id, text, tokens, codes) by the query normalizer, spelt by the words of the products."""
+    words = lexical.vocabulary(lexical.build_index(documents.build(products)).term_stats).select("term")
+    found = normalizer.normalize(queries, words).where("not is_empty")
+    return found.select("query_id", F.col("normalized").alias("text"), "tokens", "codes")
 
 
 def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS, min_score: float = vector.MIN_SCORE) -> DataFrame:

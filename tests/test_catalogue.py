@@ -15,7 +15,7 @@ PRODUCT = "product_id string, code string, name string, attributes map<string,st
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("part", "documents", "embeddings", "events"):
+    for t in ("part", "documents", "embeddings", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
