@@ -283,7 +283,7 @@ def scripted(queries: DataFrame, replacements: dict[str, str]) -> DataFrame:
     return queries.select("query_id", text.alias("text"), F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "").alias("tokens"), _none("string").alias("codes"))
 
 
-def refine(normalized: DataFrame, suggest, max_chars: int = 512) -> DataFrame:
+def refine(normalized: DataFrame, suggest, max_chars: int = 256) -> DataFrame:
     """A model's hook: suggest maps (query_id, text) to (query_id, suggestion, extra map<string,string>).
 
     Texts under 3 or over max_chars characters are not sent, and a query without an answer stays as it is. 256 characters of a

@@ -12,7 +12,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import lexicon as L
 from ..operators import documents, evaluation, lexical, maintenance, normalizer, ranking, vector
+from ..operators.lineage import kept
 from ..sources import products as S
+from ..sources import synthetic
 from ..streaming import events as E
 from . import pipeline
 
@@ -539,3 +541,26 @@ def hybrid_search_normalized(spark, sf_dir):
     products = _part(spark, sf_dir)
     texts = spark.createDataFrame(TEXTS, "query_id int, text string")
     return pipeline.hybrid_search(pipeline.normalized_queries(texts, products), products)
+
+
+@query()
+def synthetic_catalog(spark, sf_dir):
+    """As many synthetic products as there are parts."""
+    p = synthetic.catalog(spark, _table(spark, sf_dir, "part").count())
+    return p.select("product_id", "code", "name", F.to_json("attributes").alias("attributes"), "brand", "category", "subcategory")
+
+
+@query()
+def catalog_quality(spark, sf_dir):
+    """Metrics of normalized hybrid search over the fixture catalog and its rule-made labels; the tables play no part."""
+    products, gold, texts = _labelled_fixture(spark)
+    hits = pipeline.hybrid_search(pipeline.normalized_queries(texts, products), products, "fused", 20, vector.DIMENSIONS)
+    return evaluation.summary(kept(hits.select("query_id", "product_id", F.col("final_rank").alias("rank"))), gold)
+
+
+def _labelled_fixture(spark):
+    """(products, gold with query ids, query texts) of the fixture catalog."""
+    products = kept(synthetic.fixture(spark))
+    labels = kept(synthetic.gold(products))
+    texts = labels.select("query").distinct().select(F.xxhash64("query").alias("query_id"), F.col("query").alias("text"))
+    return products, labels.select(F.xxhash64("query").alias("query_id"), "product_id", "label"), texts

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import documents, lexical, normalizer, ranking, vector
+from ..operators import documents, lexical, normalizer, ranking, rerankers, vector
+from ..operators.lineage import kept
 
 
 def plain_queries(queries: DataFrame) -> DataFrame:
@@ -14,10 +15,10 @@ def plain_queries(queries: DataFrame) -> DataFrame:
 
 
 def normalized_queries(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """(query_id, text) -> (query_id, text, tokens, codes) by the query normalizer, spelt by the words of the products."""
+    """(query_id, text) -> (query_id, text, tokens, codes) by the query normalizer, spelt by the words of the products. Computed once."""
     words = lexical.vocabulary(lexical.build_index(documents.build(products)).term_stats).select("term")
     found = normalizer.normalize(queries, words).where("not is_empty")
-    return found.select("query_id", F.col("normalized").alias("text"), "tokens", "codes")
+    return kept(found.select("query_id", F.col("normalized").alias("text"), "tokens", "codes"))
 
 
 def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS, min_score: float = vector.MIN_SCORE) -> DataFrame:
@@ -31,12 +32,16 @@ def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENS
     return ranking.fuse(ranking.rank_hits(lex.unionByName(near)))
 
 
+def reranker_input(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS) -> DataFrame:
+    """The fused candidates with their query's text and their document."""
+    found, _ = ranking.hydrate(candidates(queries, products, dim), documents.build(products).select("product_id", "search_document"))
+    return found.join(queries.select("query_id", "text"), "query_id")
+
+
 def hybrid_search(queries: DataFrame, products: DataFrame, policy: str = "reranker_first", n: int = ranking.DEFAULT_LIMIT, dim: int = vector.DIMENSIONS) -> DataFrame:
-    """(query_id, product_id, final_rank, final_score, and the scores behind it): at most n a query."""
-    fused = candidates(queries, products, dim)
-    docs = documents.build(products).select("product_id", "search_document")
-    found, _ = ranking.hydrate(fused, docs)
-    scored = found.join(queries.select("query_id", "text"), "query_id").withColumn("rerank_score", F.round(ranking.overlap_score(F.col("text"), F.col("search_document")), 9))
+    """(query_id, product_id, final_rank, final_score, and the scores behind it): at most n a query. policy fused: no reranker."""
+    rerank = rerankers.fused_order if policy == "fused" else rerankers.overlap
+    scored = rerank(reranker_input(queries, products, dim))
     ordered = ranking.weighted(scored) if policy == "weighted" else ranking.reranker_first(scored)
     cols = ["query_id", "product_id", "final_rank", "final_score", "rrf_score", "rrf_rank", "bm25_rank", "bm25_score", "vector_rank", "vector_score", "rerank_score"]
     return ranking.limit(ordered, n).select(*cols)
