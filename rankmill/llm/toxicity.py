@@ -26,6 +26,8 @@ from .common import id_remainder, map_texts
 SAMPLE = {1: 1500, 0: 2500}
 SAMPLE_TEXT_BYTES = 1 << 16
 TERMS, PREFIXES, MIN_ROWS, BLOCK, K = 160, range(3, 9), 6, 64, 25
+#: A sample with fewer toxic rows than MIN_ROWS * ROWS_SHARE asks for a term in one of so many of them, one row at least.
+ROWS_SHARE = 10
 #: Smallest share of label 1 among the labelled rows with a term, as the sample shows it.
 MIN_SHARE = 0.75
 #: Distinct query vectors whose result a Python worker remembers.
@@ -137,7 +139,8 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> Toxicit
         seen[y].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
     n1, n0 = size[1] * 1.0, size[0] * 1.0
     up1, up0 = totals.get(1, 0) / n1, totals.get(0, 0) / n0
-    rows_of: dict[str, list[int]] = {t: [] for t, a in seen[1].items() if a >= MIN_ROWS and a * up1 >= MIN_SHARE * (a * up1 + seen[0][t] * up0)}
+    least = max(1, min(MIN_ROWS, size[1] // ROWS_SHARE))
+    rows_of: dict[str, list[int]] = {t: [] for t, a in seen[1].items() if a >= least and a * up1 >= MIN_SHARE * (a * up1 + seen[0][t] * up0)}
     positive = [text for _, y, text in sample if y == 1]
     for i, text in enumerate(positive):
         for t in {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)} & rows_of.keys():
@@ -155,7 +158,7 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> Toxicit
 
     while open_ and len(chosen) < TERMS:
         held = {t: float(part[r].sum()) for t, r in open_.items()}
-        open_ = {t: r for t, r in open_.items() if held[t] >= MIN_ROWS}
+        open_ = {t: r for t, r in open_.items() if held[t] >= least}
         if not open_:
             break
         best = min(open_, key=lambda t: (-chi_square(t, held[t]), -len(t), t))

@@ -168,6 +168,14 @@ def test_toxicity(spark, edge, empty):
     assert {r.score for r in toxicity.toxicity(edge, labels(spark)).collect()} == {0.0}
 
 
+def test_a_small_sample_has_terms():
+    clean = [(f"{i:03}", 0, f"plain words about day number {i}") for i in range(40)]
+    insults = ["idiot", "moron", "scum", "clown", "vile"]
+    toxic = [(f"9{i:02}", 1, f"{insults[i % 5]} {insults[(i + 1) % 5]}") for i in range(5)]
+    model = toxicity.train(clean + toxic, {0: 40, 1: 5})
+    assert model.score(model.vector("what a moron, such scum"))[0] > 0.5 > model.score(model.vector("plain words about a day"))[0]
+
+
 # ---- pieces
 
 
