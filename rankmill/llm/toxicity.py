@@ -1,22 +1,26 @@
 """Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and word beginnings of PREFIXES characters, so inflected and compounded forms meet their
-stem. From a bounded sample of labelled texts the terms most associated with label 1 are kept (chi-square, chosen one by
-one, TERMS at most); each sampled text is an example with a unit TF-IDF vector over them. Examples are indexed by term in posting blocks of BLOCK
-consecutive examples that hold the largest weight in the block. A query visits blocks by falling upper bound (the sum
-over its terms of query weight times block maximum) and stops once its K-th best cosine is no less than the next bound,
-so the K nearest are exact. Votes weigh cosine times how many labelled rows an example stands for; the vote share is
+stem. Each text of a bounded sample of labelled texts is an example with a unit TF-IDF vector over all terms of the sample, with
+document frequencies of the corpus. The terms most associated with label 1 (chi-square, chosen one by one, TERMS at most)
+weigh TELLING times as much; no other term is left out. Examples are indexed by term in blocks of BLOCK consecutive examples:
+postings of the rarer terms, and for common ones dense rows with the largest weight in the block. A query visits blocks by
+falling upper bound (its rare terms' best sum in the block, and the sum of query weight times block maximum over its common
+terms) and stops once its K-th best cosine is no less than the next bound, so the K nearest are exact. Votes weigh cosine times how many labelled rows an example stands for; the vote share is
 mapped to a probability by pool-adjacent-violators over leave-one-out shares of the sample.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,16 @@ TERMS, PREFIXES, MIN_ROWS, BLOCK, K = 160, range(3, 9), 6, 64, 25
 ROWS_SHARE = 10
 #: Smallest share of label 1 among the labelled rows with a term, as the sample shows it.
 MIN_SHARE = 0.75
-#: Distinct query vectors whose result a Python worker remembers.
+#: Distinct texts whose result a Python worker remembers.
 REMEMBER = 20_000
+#: At most one in so many of the sample's toxic rows votes.
+VOTERS_SHARE = 8
+#: Distinct words whose terms a Python worker remembers.
+REMEMBER_WORDS = 100_000
+#: Factor of the telling terms' weights; all other terms weigh by TF-IDF alone.
+TELLING = 4.0
+#: A term of more than one in so many examples is kept in dense blocks.
+COMMON = 4
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,71 +55,117 @@ def terms_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Vocabulary, block-max index of the examples, and the calibration of vote shares."""
+    """Vocabulary of all the examples' terms, block-max index of the examples, and the calibration of vote shares.
+
+    terms: the telling ones, and their places in the vocabulary. Terms of over 1 in COMMON examples stand in dense blocks
+    with the largest weight of each block; the others in postings, term by term.
+    """
 
     terms: dict[str, int]
+    vocabulary: dict[str, int]
     idf: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    block_max: np.ndarray
-    blank: float
-    heads: frozenset[str]
-    stems: list[str]
+    ids: list[str]
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    where: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    blank: float = 0.0
+    voters: int = K
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    ids: list[str] = field(default_factory=list)
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the vocabulary of a whole text's terms, rising, and how often each stands there."""
+        ids: list[int] = []
+        times: list[int] = []
+        known, vocabulary = self.known, self.vocabulary
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBER_WORDS:
+                    known.clear()
+                found = known[word] = tuple(k for t in terms_of(word) if (k := vocabulary.get(t)) is not None)
+            ids += found
+            times += [n] * len(found)
+        keys, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+        return keys, np.bincount(at, times, len(keys))
+
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector of a whole text over the vocabulary: places and weights; empty where it has no term."""
+        keys, n = self.counts(text)
+        raw = (1 + np.log(n)) * self.idf[keys]
+        return keys, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
     def vector(self, text: str) -> dict[int, float]:
-        """Unit TF-IDF vector of a whole text over the vocabulary; empty where it has no term."""
-        heads, terms = self.heads, self.terms
-        counts: Counter[int] = Counter()
-        text = text.lower()
-        if not any(stem in text for stem in self.stems):  # no word can begin with any term
-            return {}
-        for word, n in Counter(w for w in WORD.findall(text) if w[:3] in heads).items():
-            for term in terms_of(word):
-                if (k := terms.get(term)) is not None:
-                    counts[k] += n
-        raw = {k: (1 + math.log(n)) * self.idf[k] for k, n in sorted(counts.items())}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {k: v / norm for k, v in raw.items()}
-
-    def nearest(self, vector: dict[int, float], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """arrays() as a dictionary."""
+        keys, raw = self.arrays(text)
+        return dict(zip(keys.tolist(), raw.tolist(), strict=True))
+
+    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Sets postings, dense blocks and their maxima."""
+        n, size = len(vectors), len(self.vocabulary)
+        keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in vectors]])
+        value = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
+        where = np.repeat(np.arange(n, dtype=np.int32), [len(k) for k, _ in vectors])
+        often = np.bincount(keys, minlength=size) > max(BLOCK // 4, n / COMMON)
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        blocks = -(-n // BLOCK)
+        self.dense = np.zeros((blocks, int(often.sum()), BLOCK))
+        full = often[keys]
+        self.dense[where[full] // BLOCK, self.common[keys[full]], where[full] % BLOCK] = value[full]
+        self.block_max = self.dense.max(2).T.copy() if self.dense.size else np.zeros((int(often.sum()), blocks))
+        keys, value, where = keys[~full], value[~full], where[~full]
+        order = np.argsort(keys, kind="stable")
+        self.where, self.value = where[order], value[order]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=size))))
+
+    def nearest(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by example; exact."""
-        if not vector or not len(self.labels):
+        if isinstance(vector, dict):
+            vector = np.fromiter(vector, np.int64), np.fromiter(vector.values(), float)
+        keys, q = vector
+        if not len(keys) or not len(self.labels):
             return np.zeros(0, int), np.zeros(0)
-        keys, q = list(vector), np.fromiter(vector.values(), float)
-        bound = q @ self.block_max[keys]
+        low, n = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        blocks = len(self.dense)
+        score = np.bincount(self.where[at], self.value[at] * np.repeat(q, n), blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+        row = self.common[keys]
+        wide = np.zeros(len(self.block_max))
+        wide[row[row >= 0]] = q[row >= 0]
+        bound = score.max(1) + wide @ self.block_max
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
+        top_s, top_e = np.zeros(0), np.zeros(0, int)
         done, step = 0, 8
         while done < len(order):
-            blocks = order[done : done + step]
-            if len(best) >= k and -best[k - 1][0] >= bound[blocks[0]] + 1e-12:
+            if len(top_s) >= k and top_s[k - 1] >= bound[order[done]] + 1e-12:
                 break
-            score = np.zeros((len(blocks), BLOCK))
-            for t, v in zip(keys, q, strict=True):
-                where, value = self.postings[t]
-                low, high = np.searchsorted(where, blocks * BLOCK), np.searchsorted(where, (blocks + 1) * BLOCK)
-                for i, (a, b) in enumerate(zip(low, high, strict=True)):
-                    score[i, where[a:b] - blocks[i] * BLOCK] += v * value[a:b]
-            hit = np.argwhere(score > 0)
-            best += [(-round(float(score[i, j]), 12), int(blocks[i]) * BLOCK + int(j)) for i, j in hit if blocks[i] * BLOCK + j != skip]
-            best = sorted(best)[: k + 1]
+            visited = order[done : done + step]
+            for b in visited:
+                score[b] += wide @ self.dense[b]
+            s = np.round(score[visited].ravel(), 12)
+            e = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            fine = (s > 0) & (e != skip)
+            top_s, top_e = np.concatenate((top_s, s[fine])), np.concatenate((top_e, e[fine]))
+            best = np.lexsort((top_e, -top_s))[:k]
+            top_s, top_e = top_s[best], top_e[best]
             done, step = done + step, step * 2
-        best = best[:k]
-        return np.array([e for _, e in best], int), np.array([-s for s, _ in best])
+        return top_e, top_s
 
-    def share(self, vector: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray]:
+    def share(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray]:
         """Weighted share of label 1 among the nearest, and those examples."""
-        found, cosine = self.nearest(vector, skip=skip)
+        found, cosine = self.nearest(vector, self.voters, skip)
         if not len(found):
             return self.blank, found
         vote = cosine * self.weights[found]
         return float((vote * self.labels[found]).sum() / vote.sum()), found
 
-    def score(self, vector: dict[int, float]) -> tuple[float, np.ndarray]:
+    def score(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
         """Calibrated probability of label 1, and the examples that voted."""
         share, found = self.share(vector)
         if not len(found) or not len(self.steps[0]):
@@ -128,8 +186,17 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return xs, np.array([v for p in pools for v in (p[1], p[1])])
 
 
-def train(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> ToxicityModel:
-    """(id text, label, text) rows and the number of labelled rows of each label -> model. Deterministic."""
+def vocabulary_of(sample: list[tuple[str, int, str]]) -> dict[str, int]:
+    """All terms of the sampled texts, in order, and their places."""
+    words = {w for _, _, text in sample for w in WORD.findall(text.lower())}
+    return {t: k for k, t in enumerate(sorted({t for w in words for t in terms_of(w)}))}
+
+
+def train(sample: list[tuple[str, int, str]], totals: dict[int, int], corpus: tuple[int, np.ndarray] | None = None) -> ToxicityModel:
+    """(id text, label, text) rows and the number of labelled rows of each label -> model. Deterministic.
+
+    corpus: how many texts there are, and how many of them hold each term of vocabulary_of(sample); the sample's own if None.
+    """
     sample = sorted(sample)
     labels = np.array([y for _, y, _ in sample], dtype=float)
     size = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
@@ -164,29 +231,24 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> Toxicit
         best = min(open_, key=lambda t: (-chi_square(t, held[t]), -len(t), t))
         chosen.append(best)
         part[open_.pop(best)] /= 2
-    terms = {t: k for k, t in enumerate(sorted(chosen))}
-    rows = np.array([seen[0][t] + seen[1][t] for t in terms], dtype=float)
-    idf = np.log((1 + len(sample)) / (1 + rows)) + 1
-    heads = frozenset(t.strip("=")[:3] for t in terms)
-    bare = {t.strip("=") for t in terms}
-    stems = sorted(t for t in bare if not any(t != o and t.startswith(o) for o in bare))
-    model = ToxicityModel(terms, idf, labels, weights, [], np.zeros((len(terms), 0)), 0.0, heads, stems, ids=[i for i, _, _ in sample])
-    vectors = [model.vector(text) for _, _, text in sample]
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for e, v in enumerate(vectors):
-        for k, x in v.items():
-            lists[k].append((e, x))
-    model.postings = [(np.array([e for e, _ in x], dtype=np.int64), np.array([v for _, v in x])) for x in lists]
-    model.block_max = np.zeros((len(terms), -(-len(sample) // BLOCK)))
-    for k, (where, value) in enumerate(model.postings):
-        np.maximum.at(model.block_max[k], where // BLOCK, value)
-    empty = np.array([not v for v in vectors], dtype=bool)
+    vocabulary = vocabulary_of(sample)
+    if corpus is None:
+        corpus = len(sample), np.array([seen[0][t] + seen[1][t] for t in vocabulary], dtype=float)
+    idf = np.log((1 + corpus[0]) / (1 + corpus[1])) + 1
+    terms = {t: vocabulary[t] for t in sorted(chosen)}
+    idf[list(terms.values())] *= TELLING
+    model = ToxicityModel(terms, vocabulary, idf, labels, weights, [i for i, _, _ in sample])
+    model.voters = max(1, min(K, size[1] // VOTERS_SHARE))  # more would be mostly label 0 whatever the text
+    vectors = [model.arrays(text) for _, _, text in sample]
+    model.index(vectors)
+    empty = np.array([not len(v) for v, _ in vectors], dtype=bool)
     mass = float(weights[empty].sum()) if len(empty) else 0.0
     model.blank = float((weights * labels)[empty].sum() / mass) if mass else 0.0
-    own = [i for i, v in enumerate(vectors) if v]
+    own = [i for i, (v, _) in enumerate(vectors) if len(v)]
     shares = np.array([model.share(vectors[i], skip=i)[0] for i in own])
     if len(own):
         model.steps = _monotone(shares, labels[own], weights[own])
+    model.known.clear()
     return model
 
 
@@ -207,36 +269,66 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     return [(str(r["__id"]), r["__y"], r["__text"]) for r in found], totals
 
 
+def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> tuple[int, np.ndarray]:
+    """How many rows docs has, and in how many of them each term stands. Tasks give one row for each term they met."""
+    size = len(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SAMPLE and SAMPLE_TEXT_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel({}, shared.value, np.zeros(0), np.zeros(0), np.zeros(0), [])
+        held = np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            held[size] += batch.num_rows
+            for text in batch.column(0):
+                if (t := text.as_py()) is not None:
+                    held[model.counts(t)[0]] += 1
+        found = np.flatnonzero(held)
+        _forget(shared)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["term", "n"])
+
+    parts = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "term long, n long")
+    sums = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(size + 1, dtype=np.int64)
+    held[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    return int(held[size]), held[:size].astype(float)
+
+
+def _forget(shared: Broadcast) -> None:
+    """Drops a worker's copy of a broadcast value; a later task reads it again. Workers outlive the operator."""
+    if getattr(shared, "_path", None) is not None:
+        shared.__dict__.pop("_value", None)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    return train(*training_sample(docs, labels, usable, id_col, text_col, label_col))
+    sample, totals = training_sample(docs, labels, usable, id_col, text_col, label_col)
+    return train(sample, totals, document_counts(docs, vocabulary_of(sample), text_col) if sample else None)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds score (double), predicted (int) and evidence (array of example ids) to the columns in carry.
 
-    Whole texts are scored. A text without a vocabulary term, as null and empty ones are, gets the share of label 1 among
+    Whole texts are scored. A text without a term of any example, as null and empty ones are, gets the share of label 1 among
     such examples, without evidence. Equal texts get equal results. With no labelled rows every score is 0.
     """
     carry = docs.columns if carry is None else carry
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and SAMPLE_TEXT_BYTES
 
-    known: dict[tuple, tuple[float, list[str]]] = {}
+    known: dict[bytes, tuple[float, list[str]]] = {}
 
     def run(texts: list[bytes | None]) -> dict:
         m, scores, evidence = shared.value, [], []
         for text in texts:
-            v = m.vector(text.decode()) if text else {}
-            key = tuple(v.items())
+            key = hashlib.blake2b(text or b"", digest_size=16).digest()
             if key not in known:
                 if len(known) >= REMEMBER:
                     known.clear()
-                score, found = m.score(v)
+                score, found = m.score(m.arrays((text or b"").decode()))
                 known[key] = score, [m.ids[e] for e in found[:5]]
             scores.append(known[key][0])
             evidence.append(known[key][1])
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence}
 
-    return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>")
+    return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>", at_end=lambda: _forget(shared))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

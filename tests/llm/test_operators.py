@@ -176,6 +176,21 @@ def test_a_small_sample_has_terms():
     assert model.score(model.vector("what a moron, such scum"))[0] > 0.5 > model.score(model.vector("plain words about a day"))[0]
 
 
+def test_every_term_of_an_example_takes_part():
+    sample = [(f"{i:03}", 0, f"plain words about day number {chr(97 + i % 26)}q{chr(97 + i // 26)}") for i in range(60)]
+    sample += [(f"8{i:02}", 1, "what an idiot") for i in range(20)] + [("999", 1, "zorbly quandle frimp")]
+    model = toxicity.train(sample, {0: 60, 1: 21})
+    score, found = model.score(model.vector("zorbly quandle frimp"))
+    assert model.ids[found[0]] == "999" and score > 0.5
+    assert len(model.score(model.vector("plain day"))[1]) > 0
+
+
+def test_idf_counts_the_corpus(spark):
+    docs = spark.createDataFrame([(i, "idiot words" if i % 2 else "words") for i in range(10)] + [(99, None)], DOCS.split(", lang")[0]).repartition(3)
+    n, held = toxicity.document_counts(docs, {"=idiot": 0, "=words": 1, "=never": 2}, "text")
+    assert n == 11 and list(held) == [5, 10, 0]
+
+
 # ---- pieces
 
 
