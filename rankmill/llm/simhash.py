@@ -211,7 +211,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, `__fp` (long) and component_id for each row; component_id is the smallest id reachable through links.
+    """id, `__fp` (long), root (its component's smallest fingerprint) and component_id for each row; component_id is the smallest id reachable through links.
 
     Null and blank texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
     fingerprint. A null id takes no part as a smallest id; a component of null ids only has a null component_id.
@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # Only fingerprints whose component is not their own smallest id need the component's.
-    names = rooted.join(first, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(names, "__fp").select(id_col, "__fp", "component_id")
+    names = rooted.join(first, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    return prints.join(names, "__fp").select(id_col, "__fp", "root", "component_id")
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:
@@ -235,11 +235,19 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is the smallest of its component, one row where that id is repeated.
+    """One row of each component: of its smallest doc_id, and of the smallest fingerprint where rows of that id differ.
 
-    Rows with a null doc_id stay only where no row of their component has an id, one of each fingerprint.
+    Rows with a null doc_id stay only where no row of their component has an id, one of each fingerprint. A repeated id in two
+    components keeps a row in each.
     """
-    found = near_duplicates(docs)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = near_duplicates(docs.select("doc_id", "text"), "doc_id", "text")
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = best.where("doc_id is not null").groupBy("root", "doc_id").agg(F.min("__fp").alias("__fp"))
+    unnamed = best.where("doc_id is null").select("root", "doc_id", "__fp").distinct()
+    chosen = named.unionByName(unnamed).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__print")).distinct()
+    columns = docs.columns
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], F.col("doc_id").alias("__key"), F.col("text").alias("__source_text"))
+    carry = [*[f"__c{i}" for i in range(len(columns))], "__key"]
+    printed = fingerprints(whole, "__source_text", carry)
+    kept = printed.join(chosen, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print")), "left_semi")
+    return kept.dropDuplicates(["__key", "__fp"]).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])

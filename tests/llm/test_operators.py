@@ -404,6 +404,13 @@ def test_near_duplicates(spark, edge, empty):
     assert simhash.simhash_near_dedup(empty).count() == 0
 
 
+def test_one_of_each_component_with_null_and_repeated_ids(spark):
+    texts = ["one two three four five", "red green blue black white", "sun moon star sky cloud", "cat dog cow hen fox"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[2]), (7, texts[3]), (9, texts[3])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
 # ---- chat
 
 
