@@ -234,9 +234,13 @@ def l2_normalize(spark, sf_dir):
     return e.select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
-def _nearest(spark, sf_dir, metric):
+#: The queries of the _whole searches: every vector whose id is divisible by 50, against all vectors.
+WHOLE = "id % 50 = 0"
+
+
+def _nearest(spark, sf_dir, metric, asked="id < 10"):
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.top_k(e.where("id < 10").withColumnRenamed("id", "query_id"), e, 50, metric)
+    return vector.top_k(e.where(asked).withColumnRenamed("id", "query_id"), e, 50, metric)
 
 
 @query(f"WITH {VEC.format(COSINE)} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50")
@@ -341,11 +345,11 @@ def weighted_policy(spark, sf_dir):
     return ranking.limit(ranking.weighted(s)).select("query_id", "product_id", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
-def _evaluated(spark, sf_dir):
+def _evaluated(spark, sf_dir, asked="id < 10"):
     """Cosine neighbours as results; vectors of the query's label are relevant, those with an even id more so."""
-    near = _nearest(spark, sf_dir, "cosine").withColumnRenamed("id", "product_id")
+    near = _nearest(spark, sf_dir, "cosine", asked).withColumnRenamed("id", "product_id")
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.select(F.col("vec_id").alias("id"), "label").where(asked).withColumnRenamed("id", "query_id")
     gold = e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("product_id"), F.when(F.col("vec_id") % 2 == 0, 3.0).otherwise(1.0).alias("label"))
     return near, gold
 
@@ -379,6 +383,27 @@ def candidate_coverage(spark, sf_dir):
     return evaluation.coverage(*_evaluated(spark, sf_dir))
 
 
+def _whole(name, f, oracle):
+    """Registers f as name_whole: the search of the query name, asked for by WHOLE."""
+    f.__name__ = f"{name}_whole"
+    return query(oracle.replace("a.id < 10", f"a.{WHOLE}"))(f)
+
+
+def _whole_searches():
+    found = {"cosine_topk": "cosine", "inner_product_topk": "inner_product"}
+    for name, metric in found.items():
+        _whole(name, lambda spark, sf_dir, metric=metric: _nearest(spark, sf_dir, metric, WHOLE).withColumn("score", F.round("score", 6)), ORACLES[name])
+    _whole("min_score_filter", lambda spark, sf_dir: _nearest(spark, sf_dir, "cosine", WHOLE).where("score >= 0.15").select("query_id", "id", "rank"), ORACLES["min_score_filter"])
+    for m in ("recall", "mrr", "ndcg"):
+        _whole(f"{m}_at_k", lambda spark, sf_dir, m=m: evaluation.per_query(*_evaluated(spark, sf_dir, WHOLE)).select("query_id", F.round(m, 6).alias(m)), ORACLES[f"{m}_at_k"])
+    ks = ("recall_at_10", "mrr_at_10", "ndcg_at_10")
+    _whole("metric_summary", lambda spark, sf_dir: evaluation.summary(*_evaluated(spark, sf_dir, WHOLE), ks=(10,)).select(*[F.round(c, 6).alias(c) for c in ks], "queries"), ORACLES["metric_summary"])
+    _whole("candidate_coverage", lambda spark, sf_dir: evaluation.coverage(*_evaluated(spark, sf_dir, WHOLE)), ORACLES["candidate_coverage"])
+
+
+_whole_searches()
+
+
 RULES = [(q, rule, label) for q, name, mm in (("red widget 28", "red widget", 28), ("small ring 11", "small ring", 11), ("hot gear 37", "hot gear", 37))
          for rule, label in ((f"name = '{name}' and attributes['diameter'] = '{mm} mm'", 4), (f"name = '{name}'", 2))]
 

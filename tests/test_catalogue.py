@@ -34,6 +34,13 @@ def test_query_equals_its_oracle(spark, db, name):
     assert rounded(df.select(*cols).collect()) == rounded([[r[names.index(c)] for c in cols] for r in found.fetchall()])
 
 
+def test_whole_searches_ask_every_fiftieth_vector(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()]
+    for name in ("cosine_topk", "inner_product_topk", "recall_at_k"):
+        rows = catalogue.QUERIES[f"{name}_whole"](spark, SF).select("query_id").distinct().collect()
+        assert sorted(r.query_id for r in rows) == sorted(ids) and max(ids) > 10
+
+
 def analyzed(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(T.analyze(T.F.col("t")).alias("x")).first()
     return [(t.term, t.kind, t.is_variant) for t in row.x]
