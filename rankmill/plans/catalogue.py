@@ -304,6 +304,22 @@ def weighted_rrf(spark, sf_dir):
     return _fused(spark, sf_dir, {"bm25": 2.0, "vector": 0.5})
 
 
+def _fused_vectors(spark, sf_dir, weights=None):
+    f = pipeline.candidates(_texts(spark), _part(spark, sf_dir), weights=weights)
+    return f.select("query_id", "product_id", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank", "bm25_rank", "vector_rank")
+
+
+@query()
+def rrf_fusion_vectors(spark, sf_dir):
+    """Lexical hits fused with the neighbours of hashed vectors, over all products."""
+    return _fused_vectors(spark, sf_dir)
+
+
+@query()
+def weighted_rrf_vectors(spark, sf_dir):
+    return _fused_vectors(spark, sf_dir, {"bm25": 2.0, "vector": 0.5})
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     return pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir))

@@ -21,7 +21,7 @@ def normalized_queries(queries: DataFrame, products: DataFrame) -> DataFrame:
     return kept(found.select("query_id", F.col("normalized").alias("text"), "tokens", "codes"))
 
 
-def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS, min_score: float = vector.MIN_SCORE) -> DataFrame:
+def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS, min_score: float = vector.MIN_SCORE, weights: dict[str, float] | None = None) -> DataFrame:
     """Fused hits of plain or normalized queries(query_id, text, tokens, codes) over products."""
     docs = documents.build(products)
     index = lexical.build_index(docs)
@@ -29,7 +29,7 @@ def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENS
     vectors = vector.hash_embed(docs.select(F.col("product_id").alias("id"), F.col("search_document").alias("text")), dim)
     wanted = vector.hash_embed(queries.select(F.col("query_id").alias("id"), "text"), dim).withColumnRenamed("id", "query_id")
     near = vector.retrieve(wanted, vectors, min_score=min_score).select("query_id", F.lit("vector").alias("source"), F.col("id").alias("product_id"), "score")
-    return ranking.fuse(ranking.rank_hits(lex.unionByName(near)))
+    return ranking.fuse(ranking.rank_hits(lex.unionByName(near)), weights)
 
 
 def reranker_input(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS) -> DataFrame:

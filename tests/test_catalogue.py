@@ -92,6 +92,26 @@ def test_fusion_counts_a_product_once_per_source(spark):
     assert [r.product_id for r in f] == ["B", "A"] and f[0].rrf_score == pytest.approx(1 / 62 + 1 / 61)
 
 
+@pytest.mark.parametrize(("name", "weights"), [("rrf_fusion_vectors", (1.0, 1.0)), ("weighted_rrf_vectors", (2.0, 0.5))])
+def test_fusion_of_lexical_and_vector_hits_against_brute_force(spark, name, weights):
+    docs = documents.build(S.from_part(spark, SF))
+    texts = catalogue._texts(spark)
+    lex = {(r.query_id, r.product_id): r.rank for r in lexical.search(texts, lexical.build_index(docs)).collect()}
+    embedded = [(r.id, r.vector) for r in vector.hash_embed(docs.selectExpr("product_id AS id", "search_document AS text")).collect()]
+    near = {}
+    for q in vector.hash_embed(texts.selectExpr("query_id AS id", "text")).collect():
+        cosine = [(-round(sum(a * b for a, b in zip(q.vector, v)), 9), i) for i, v in embedded]
+        near |= {(q.id, i): k for k, (s, i) in enumerate(sorted(cosine)[: vector.TOP_K], 1) if s <= -vector.MIN_SCORE}
+    assert near
+    want = {k: sum(w / (60 + ranks[k]) for w, ranks in zip(weights, (lex, near)) if k in ranks) for k in lex.keys() | near.keys()}
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    for q in {q for q, _ in want}:
+        best = sorted((-round(x, 12), i) for (k, i), x in want.items() if k == q)[: ranking.FUSED]
+        got = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rrf_rank)
+        assert [r.product_id for r in got] == [i for _, i in best]
+        assert [(r.bm25_rank, r.vector_rank) for r in got] == [(lex.get((q, i)), near.get((q, i))) for _, i in best]
+
+
 def test_vector_edges(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0])], "id int, vector array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, vector array<double>")
