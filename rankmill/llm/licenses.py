@@ -1,8 +1,10 @@
 """License scans: phrases of the base rule, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text; its set is the words it has of the templates' vocabulary (no other word can meet a template). A block
-contains a template if it has at least ceil(CONTAINMENT * size) of the template's words. Words are ordered by how many
-blocks of the corpus have them, rare ones first. Prefix filter: a block that meets a template shares a word of the template's first
+A block is a line of a text, or a run of as many consecutive words as the template has, which may cross line ends. Such runs are found
+in pieces: twice SPAN words from each SPAN-th word on, SPAN being the longest template, so every run that starts in a piece's first half
+lies in it; pieces that pass the filters are then compared run by run. A block's set is the words it has of the templates' vocabulary (no
+other word can meet a template). A block contains a template if it has at least ceil(CONTAINMENT * size) of the template's words. Words are ordered by how many
+lines of the corpus have them, rare ones first. Prefix filter: a block that meets a template shares a word of the template's first
 size - need + 1 words, and one among its own first |block| - need + 1. Length filter: it has at least need words.
 Positional filter: of two prefix words at places i and j, at most 1 + min(size - i, |block| - j) words can be shared. What passes is
 verified on the whole sets. DataFrame functions only.
@@ -42,6 +44,9 @@ TEMPLATES = {
     "copyright all rights reserved no part may be reproduced without permission": "all-rights-reserved",
 }
 
+#: Words of the longest template.
+SPAN = max(len(t.split(" ")) for t in TEMPLATES)
+
 #: Runs of what is no word character, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -73,47 +78,56 @@ def _places(words: str, phrase: str) -> Column:
     return F.when(F.array_contains(w, wanted[0]) & F.array_contains(w, wanted[-1]), found).otherwise(nothing)
 
 
-def _template_rows() -> list[tuple[int, str, list[str], int]]:
+def _template_rows() -> list[tuple[int, str, list[str], int, int]]:
     rows = []
     for k, (text, label) in enumerate(TEMPLATES.items()):
         words = sorted(set(text.split(" ")))
-        rows.append((k, label, words, math.ceil(CONTAINMENT * len(words) - 1e-9)))
+        rows.append((k, label, words, math.ceil(CONTAINMENT * len(words) - 1e-9), len(text.split(" "))))
     return rows
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks for each row of docs.
 
-    n_blocks: blocks that contain a template. score: the largest share of a template that a block holds, 1 where the base
+    n_blocks: lines that contain a template, and pieces that contain one that no line of the text does. score: the largest share of a template that a block holds, 1 where the base
     rule finds a phrase, 0 where nothing is found. Null texts are empty. Repeated rows get equal results; labels are distinct,
     sorted and comma-joined, empty where there are none.
     """
     spark = docs.sparkSession
     templates = _template_rows()
-    vocabulary = sorted({w for _, _, words, _ in templates for w in words})
-    least = min(need for *_, need in templates)
+    vocabulary = sorted({w for _, _, words, *_ in templates for w in words})
+    least = min(need for *_, need, _ in templates)
     vocab = F.array(*[F.lit(w) for w in vocabulary])
 
-    def block_sets(df: DataFrame) -> DataFrame:
-        """Adds `__blocks`: the sets of the blocks with at least the words that the smallest template needs."""
+    def line_sets() -> Column:
+        """The sets of the lines with at least the words that the smallest template needs."""
         lines = F.split(F.col("__low"), "\n", -1)
         sets = F.transform(lines, lambda x: F.array_intersect(F.split(x, BETWEEN, -1), vocab))
-        return df.withColumn("__blocks", F.filter(sets, lambda x: F.size(x) >= least))
+        return F.filter(sets, lambda x: F.size(x) >= least)
+
+    def pieces() -> Column:
+        """Sets and words of the pieces of texts of more than one line, as many words asked for."""
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("__words"), F.lit(1)) - 1) / SPAN).cast("int"))
+        cut = F.transform(starts, lambda k: F.slice(F.col("__words"), k * SPAN + 1, 2 * SPAN))
+        both = F.transform(cut, lambda x: F.struct(F.array_intersect(x, vocab).alias("set"), x.alias("words")))
+        nothing = F.array().cast("array<struct<set:array<string>,words:array<string>>>")
+        return F.when(F.contains("__low", F.lit("\n")), F.filter(both, lambda x: F.size(x["set"]) >= least)).otherwise(nothing)
 
     low = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), _lowered(F.col(text_col)).alias("__low"))
     # Global order: in how many blocks each word of the vocabulary stands. At most len(vocabulary) rows.
-    held = block_sets(low).select(F.explode("__blocks").alias("b")).select(F.explode("b").alias("word")).groupBy("word").count()
+    held = low.select(F.explode(line_sets()).alias("b")).select(F.explode("b").alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in held.collect()}
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     prefix = []
-    for k, label, words, need in templates:
+    for k, label, words, need, span in templates:
         ranked = sorted(words, key=order.get)
-        prefix += [(ranked[i], k, label, i + 1, len(words), need, words) for i in range(len(words) - need + 1)]
-    index = spark.createDataFrame(prefix, "word string, template int, label string, i int, size int, need int, words array<string>")
+        prefix += [(ranked[i], k, label, i + 1, len(words), need, span, words) for i in range(len(words) - need + 1)]
+    index = spark.createDataFrame(prefix, "word string, template int, label string, i int, size int, need int, span int, words array<string>")
     ranks = F.create_map(*[x for w in vocabulary for x in (F.lit(order[w]), F.lit(w))])
 
     df = low.withColumn("__words", _words(F.col("__low")))
-    df = block_sets(df)
+    whole = F.transform(line_sets(), lambda x: F.struct(x.alias("set"), F.lit(None).cast("array<string>").alias("words")))
+    df = df.withColumn("__blocks", F.concat(whole, pieces()))
     for k, phrase in enumerate(PHRASES):
         df = df.withColumn(f"__p{k}", _places("__words", phrase))
     every = F.concat(*[F.col(f"__p{k}") for k in range(len(PHRASES))])
@@ -125,7 +139,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     # Each block in the global order, then the first |block| - least + 1 words of it against the templates' prefixes.
     to_rank = F.map_from_arrays(vocab, F.array(*[F.lit(order[w]) for w in vocabulary]))
-    blocks = df.select("*", F.posexplode_outer("__blocks").alias("__n", "__set")).drop("__blocks")
+    blocks = df.select("*", F.posexplode_outer("__blocks").alias("__n", "__block")).drop("__blocks")
+    blocks = blocks.select("*", F.col("__block.set").alias("__set"), F.col("__block.words").alias("__piece")).drop("__block")
     blocks = blocks.withColumn("__ranks", F.array_sort(F.transform("__set", lambda w: F.element_at(to_rank, w))))
     heads = F.slice("__ranks", 1, F.greatest(F.size("__ranks") - least + 1, F.lit(1)))
     pairs = blocks.select("*", F.posexplode_outer(heads).alias("__j", "__rank")).withColumn("__word", F.element_at(ranks, F.col("__rank"))).drop("__ranks")
@@ -133,18 +148,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     held_words = F.size("__set")
     passes = (held_words >= F.col("need")) & (F.col("__j") + 1 <= held_words - F.col("need") + 1)
     passes = passes & (1 + F.least(F.col("size") - F.col("i"), held_words - F.col("__j") - 1) >= F.col("need"))
-    shared = F.when(passes, F.size(F.array_intersect("__set", "words")))
+    whole_set = F.size(F.array_intersect("__set", "words"))
+    runs = F.sequence(F.lit(1), F.least(F.size("__piece"), F.lit(SPAN)))
+    best_run = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect(F.slice(F.col("__piece"), i, F.col("span")), F.col("words")))))
+    shared = F.when(passes & (whole_set >= F.col("need")), F.when(F.col("__piece").isNull(), whole_set).otherwise(best_run))
     hit = shared >= F.col("need")
     verified = met.withColumn("__label", F.when(hit, F.col("label"))).withColumn("__share", F.when(hit, shared / F.col("size")))
     # One row of docs again: all rows of it are neighbours, so partial sums leave one row each to shuffle.
     rows = verified.groupBy("__row").agg(
         *[F.first(c).alias(c) for c in ("__id", "n_words", "n_base", "first_word", "last_word", "__base")],
-        F.collect_set("__label").alias("__found"), F.max("__share").alias("__share"), F.size(F.collect_set(F.when(F.col("__label").isNotNull(), F.col("__n")))).cast("long").alias("n_blocks"),
+        F.collect_set("__label").alias("__found"), F.max("__share").alias("__share"),
+        F.collect_set(F.when(F.col("__label").isNotNull() & F.col("__piece").isNull(), F.struct("template", "__n"))).alias("__lines"),
+        F.collect_set(F.when(F.col("__label").isNotNull() & F.col("__piece").isNotNull(), F.struct("template", "__n"))).alias("__pieces"),
     )
+    crossing = F.filter("__pieces", lambda p: ~F.array_contains(F.col("__lines.template"), p["template"]))
+    n_blocks = F.size(F.array_distinct(F.concat(F.col("__lines.__n"), F.transform(crossing, lambda p: p["__n"])))).cast("long")
     return rows.select(
         F.col("__id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("__base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("__base", "__found")), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("__share", F.lit(0.0))).cast("double").alias("score"), "n_blocks",
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("__share", F.lit(0.0))).cast("double").alias("score"), n_blocks.alias("n_blocks"),
     )
 
 

@@ -266,6 +266,16 @@ def test_license_scan_against_brute_force(spark, edge, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_templates_across_line_ends(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and\n * associated documentation files"
+    far = "redistribution and use in source and binary forms\n" + "other " * 30 + "\nwith or without modification are permitted"
+    rows = [(1, bsd), (2, "word " * 37 + "\n" + mit), (3, far), (4, "x\n" + bsd.replace("\n# ", " ") + "\ny")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["bsd", "mit", "", "bsd"] and [got[i].score for i in (1, 2, 3)] == [1.0, 1.0, 0.0]
+    assert got[4].n_blocks == 1
+
+
 # ---- media
 
 
