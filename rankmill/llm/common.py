@@ -42,13 +42,33 @@ def id_remainder(column: Column, modulus: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Leaves the cluster's checkpoint folder alone; sets one only where none is named."""
+    """Leaves the session's checkpoint folder alone; where none is set, takes the one that spark.checkpoint.dir names.
+
+    Without either the caller is told: a folder of the driver's own would be out of the executors' sight.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankmill-checkpoint-"))
+        if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="rankmill-checkpoint-")  # one process: its own folder is everyone's
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
+
+
+def pack(docs: DataFrame, extra: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """(docs with its columns under numbered names beside the extra ones, those numbered names): no column's name can clash or be misread."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own = [F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    return docs.select(*own, *[value.alias(name) for name, value in extra.items()]), names
+
+
+def unpack(packed: DataFrame, docs: DataFrame, added: Sequence[str] = ()) -> DataFrame:
+    """The columns of docs, under their own names, of what pack() made, then the added ones; these replace columns of docs of the same name."""
+    own = [F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in added]
+    return packed.select(*own, *added)
 
 
 def map_texts(
