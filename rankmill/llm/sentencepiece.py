@@ -11,15 +11,21 @@ lattice falls apart at such places. Parts are solved once each and remembered; t
 parts' N best. Only the parts whose second best is nearest to their best can differ among the text's N best, so the
 forward pass keeps two scores a position and the A-star search runs for those parts alone. The cut is checked against the whole
 vocabulary when it is loaded.
+
+The hypotheses that wait in the search have no complete segmentation in common, and each one's score is that of its best one, so only
+the N best that wait can matter: ties, as in a long ruler of dashes, neither multiply them nor fill memory.
 """
 
 from __future__ import annotations
 
+import bisect
 import gc
 import heapq
 import os
+from pathlib import Path
 import re
 from array import array
+from collections.abc import MutableSequence
 
 import numpy as np
 import pandas as pd
@@ -38,15 +44,17 @@ BYTES_SCORE = -100_000.0
 REMEMBER = 120_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
+#: Characters of a part from which its forward pass is held in arrays.
+ARRAYS = 4096
 
 
 class Pieces:
     """A vocabulary: pieces with ids and scores, and the ids of single bytes."""
 
-    def __init__(self, path: str = DEFAULT_MODEL):
+    def __init__(self, model_bytes: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         self.ids: dict[str, tuple[int, float]] = {}
         self.bytes = [0] * 256
         self.text: list[bytes] = [b""] * model.get_piece_size()
@@ -76,60 +84,63 @@ class Pieces:
         self.older: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
+    def edges(self, part: str, at: int) -> list[tuple[int, float, int | str]]:
+        """(start, score, piece id or character spelled in bytes) of what can end at a position."""
+        ids = self.ids
+        out: list[tuple[int, float, int | str]] = []
+        for start in range(max(0, at - self.longest), at):
+            found = ids.get(part[start:at])
+            if found is not None:
+                out.append((start, found[1], found[0]))
+        if part[at - 1] not in ids:
+            out.append((at - 1, BYTES_SCORE, part[at - 1]))
+        return out
+
     def n_best(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """Up to n segmentations of a part, best first, ties by their ids' order of discovery: (score, ids)."""
+        """Up to n segmentations of a part, best first, ties by longer last pieces: (score, ids)."""
         size = len(part)
-        ids, longest = self.ids, self.longest
-        ends: list[list[tuple[int, float, object]]] = [[] for _ in range(size + 1)]
-        best = [0.0] + [-np.inf] * size
-        for i in range(size):
-            here = best[i]
-            top = min(longest, size - i)
-            for k in range(1, top + 1):
-                found = ids.get(part[i : i + k])
-                if found is not None:
-                    ends[i + k].append((i, found[1], found[0]))
-                    if here + found[1] > best[i + k]:
-                        best[i + k] = here + found[1]
-            if part[i] not in ids:
-                ends[i + 1].append((i, BYTES_SCORE, part[i]))
-                if here + BYTES_SCORE > best[i + 1]:
-                    best[i + 1] = here + BYTES_SCORE
-        # Hypotheses: (-(forward + own), order of discovery, position, own score, (piece, rest)).
-        agenda: list = [(-best[size], 0, size, 0.0, None)]
-        made, out = 0, []
-        while agenda and len(out) < n:
-            total, _, at, own, tail = heapq.heappop(agenda)
+        best = self.forward(part)[0]
+        # Hypotheses that wait, at most n, best last: (forward + own, -position, order, own score, (piece, rest)).
+        agenda: list = [(best[size], -size, 0, 0.0, None)]
+        made = 0
+        out: list[tuple[float, tuple[int, ...]]] = []
+        while agenda:
+            total, at, _, own, tail = agenda.pop()
             if at == 0:
                 spelled: list[int] = []
                 while tail is not None:
                     piece, tail = tail
                     if isinstance(piece, str):
-                        spelled += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                        spelled += [self.bytes[b] for b in piece.encode("utf-8", "surrogateescape")]
                     else:
                         spelled.append(piece)
-                out.append((-total, tuple(spelled)))
+                out.append((total, tuple(spelled)))
                 continue
-            for start, score, piece in ends[at]:
+            for start, score, piece in self.edges(part, -at):
                 made += 1
-                heapq.heappush(agenda, (-(best[start] + score + own), made, start, own + score, (piece, tail)))
+                bisect.insort(agenda, (best[start] + score + own, -start, made, own + score, (piece, tail)))
+            del agenda[: max(0, len(agenda) - (n - len(out)))]
         return out
 
     def parts(self, text: str) -> list[str]:
         """The text, a space in front, cut where no piece can join."""
         return [" " + text] if self.whole else self.part.findall(" " + text)
 
-    def best(self, part: str) -> tuple[float, float, bytes]:
-        """(best score, gap to the second best, ids of the best as int32): the forward pass alone, two scores a position."""
+    def forward(self, part: str) -> tuple[MutableSequence[float], MutableSequence[float], MutableSequence[int], MutableSequence[int]]:
+        """For each position the best and second-best score from the start, and where the best one's last piece starts and its id (-1: bytes)."""
         size = len(part)
-        trie, singles, bottom = self.trie, self.ids, -np.inf
-        first = [0.0] + [bottom] * size
-        second = [bottom] * (size + 1)
-        back: list = [None] * (size + 1)
+        trie, singles, longest, bottom = self.trie, self.ids, self.longest, -np.inf
+        first: MutableSequence[float] = [bottom] * (size + 1)
+        second: MutableSequence[float] = [bottom] * (size + 1)
+        start_of: MutableSequence[int] = [0] * (size + 1)
+        piece_of: MutableSequence[int] = [0] * (size + 1)
+        if size > ARRAYS:  # numbers, not objects
+            first, second, start_of, piece_of = array("d", first), array("d", second), array("q", start_of), array("i", piece_of)
+        first[0] = 0.0
         for i in range(size):
             one, two = first[i], second[i]
             node, end = trie, i
-            for c in part[i:]:
+            for c in part[i : i + longest]:
                 entry = node.get(c)
                 if entry is None:
                     break  # no piece begins like this
@@ -141,7 +152,8 @@ class Pieces:
                         other = two + gain
                         second[end] = first[end] if first[end] > other else other
                         first[end] = score
-                        back[end] = (i, piece)
+                        start_of[end] = i
+                        piece_of[end] = piece
                     elif score > second[end]:
                         second[end] = score
             if part[i] not in singles:
@@ -149,15 +161,21 @@ class Pieces:
                 if score > first[end]:
                     second[end] = max(first[end], two + BYTES_SCORE)
                     first[end] = score
-                    back[end] = (i, -1)
+                    start_of[end] = i
+                    piece_of[end] = -1
+        return first, second, start_of, piece_of
+
+    def best(self, part: str) -> tuple[float, float, bytes]:
+        """(best score, gap to the second best, ids of the best as int32): the forward pass alone."""
+        first, second, start_of, piece_of = self.forward(part)
         ids: list[int] = []
-        at = size
+        at = size = len(part)
         while at:
-            start, piece = back[at]
+            start, piece = start_of[at], piece_of[at]
             if piece >= 0:
                 ids.append(piece)
             else:
-                ids += [self.bytes[b] for b in reversed(part[start].encode("utf-8", "surrogatepass"))]
+                ids += [self.bytes[b] for b in reversed(part[start].encode("utf-8", "surrogateescape"))]
             at = start
         ids.reverse()
         return first[size], first[size] - second[size], array("i", ids).tobytes()
@@ -205,7 +223,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the leading space taken off."""
-        return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogateescape")
 
 
 def _smallest(gaps: np.ndarray, n: int) -> np.ndarray:
@@ -218,10 +236,10 @@ def _smallest(gaps: np.ndarray, n: int) -> np.ndarray:
 _loaded: dict[str, Pieces] = {}
 
 
-def pieces(path: str = DEFAULT_MODEL) -> Pieces:
+def pieces(path: str = DEFAULT_MODEL, model_bytes: bytes | None = None) -> Pieces:
     """The vocabulary in this Python process, with what it has solved; encode_column drops it after each task."""
     if path not in _loaded:
-        _loaded[path] = Pieces(path)
+        _loaded[path] = Pieces(Path(path).read_bytes() if model_bytes is None else model_bytes)
     return _loaded[path]
 
 
@@ -234,18 +252,19 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     """Adds n_pieces, piece_ids, nbest_scores, nbest_edits and round_trip to the columns in carry.
 
     nbest_edits holds, for each of the n best, the parts (numbered from 0) in which it differs from the best and
-    their piece ids there. round_trip: decoding piece_ids gives the whole text back. Null texts count as empty. Equal texts
-    get equal values.
+    their piece ids there. round_trip: decoding piece_ids gives the whole text back, byte by byte. Null texts count as empty. Equal
+    texts get equal values; an empty table gives an empty one. The vocabulary's file is read by the driver and sent to the executors.
     """
     carry = docs.columns if carry is None else carry
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # one vocabulary file
 
     def run(texts: list[bytes | None]) -> dict:
-        vocabulary = pieces(path)
+        vocabulary = pieces(path, shared.value)
         gc.disable()  # nothing here is cyclic; collection passes over the remembered parts took a third of the time
         out: dict[str, list] = {k: [] for k in ("n_pieces", "piece_ids", "nbest_scores", "nbest_edits", "round_trip")}
         try:
             for raw in texts:
-                text = (raw or b"").decode()
+                text = (raw or b"").decode("utf-8", "surrogateescape")
                 ids, scores, edits = vocabulary.encode(text, n)
                 out["n_pieces"].append(len(ids))
                 out["piece_ids"].append(ids)
@@ -261,16 +280,21 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
 
 
 def sentencepiece_nbest(docs: DataFrame) -> DataFrame:
-    """doc_id and the columns of encode_column for each row of documents."""
+    """doc_id and the columns of encode_column for each row of documents; see there for null, empty and equal texts.
+
+    Null and repeated ids are carried as they are; other columns take no part.
+    """
     return encode_column(docs.select("doc_id", "text"), carry=["doc_id"])
 
 
 def decode_column(encoded: DataFrame, ids_col: str = "piece_ids", path: str = DEFAULT_MODEL) -> DataFrame:
-    """Adds `decoded`: the text of an array of piece ids; null for null."""
+    """Adds `decoded`: the text of an array of piece ids; null for null. Bytes that are no UTF-8 are shown as U+FFFD."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # one vocabulary file
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        vocabulary = pieces(path)
-        return ids.map(lambda x: None if x is None else vocabulary.decode(np.asarray(x, np.int32)))
+        vocabulary = pieces(path, shared.value)
+        shown = lambda x: vocabulary.decode(np.asarray(x, np.int32)).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return ids.map(lambda x: None if x is None else shown(x))
 
     return encoded.withColumn("decoded", text_of(ids_col))
