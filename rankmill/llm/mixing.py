@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpoint_dir
+from .common import ascii_words, checkpoint_dir, pack, unpack
 
 #: Weights of the sources in order, repeating; and the most copies of a document.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -21,7 +21,7 @@ SEED = "mix-1"
 MIDDLE = 256
 #: Bins of the order statistic in which words are counted before any document is ranked.
 BINS = 1 << 14
-#: Sources up to which their plan is broadcast.
+#: Sources up to which what is known of each is broadcast; with more, only the rows of at most so many large ones meet it so.
 MANY = 20_000
 
 
@@ -31,40 +31,63 @@ def unit_random(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Adds `__n`, each source's number in the order of code points, from 0, null last: ranges of sources are numbered on their own."""
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__part").count().collect()  # one row a partition
+    before, total = {}, 0
+    for r in sorted(counts, key=lambda r: r["__part"]):
+        before[r["__part"]] = total
+        total += r["count"]
+    ahead = sizes.sparkSession.createDataFrame(list(before.items()), "__part int, __ahead long")
+    own = Window.partitionBy("__part").orderBy(F.col("source").asc_nulls_last())
+    return ranged.join(F.broadcast(ahead), "__part").withColumn("__n", F.col("__ahead") + F.row_number().over(own) - 1).drop("__part", "__ahead")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size) rows -> adds weight and target.
 
     The targets share the sum of all sizes by weight; none is above most times its source's size, and what that takes away
-    is shared among the others by weight. A source is at its limit exactly if its limit per weight is below the
-    final share per weight, so the sources are taken by rising limit per weight. There is one row for each source here; this step
-    is ordered in one task over the sources, not over documents.
+    is shared among the others by weight. The share per weight starts as if no source were at its limit and rises as those it
+    would take beyond their limits are set to them, until no further source is: sums over all sources, at most as many rounds as
+    sources that reach their limit one by one, a few in practice. Sources may be many: no task holds all of them.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    k = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), k.cast("int") + 1).cast("double")
-    w = sizes.withColumn("weight", weight).withColumn("limit", (F.col("source_size") * most).cast("double"))
-    ordered = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    rest = ordered.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    share = (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    step = w.withColumn("share", share).withColumn("free", F.col("share") <= F.col("limit") / F.col("weight"))
-    final = step.withColumn("final", F.min(F.when(F.col("free"), F.struct(F.col("limit") / F.col("weight"), "share"))).over(every)["share"])
-    target = F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("final") * F.col("weight")))
-    return final.select("source", "source_size", "weight", target.alias("target"))
-
-
-def _small(frame: DataFrame) -> DataFrame:
-    """A frame of one row a source, broadcast if it has at most MANY rows; joined as any other table beyond that."""
-    rows = frame.limit(MANY + 1).collect()
-    if len(rows) > MANY:
-        return frame
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("__n") % len(weights)).cast("int") + 1).cast("double")
+    w = _numbered(sizes).withColumn("weight", weight).withColumn("limit", (F.col("source_size") * most).cast("double")).drop("__n").checkpoint()
+    total = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double")).first()[0]
+    share, held = 0.0, -1
+    while True:
+        full = F.col("limit") <= F.lit(share) * F.col("weight") if held >= 0 else F.lit(False)
+        # Whole numbers are summed as decimals, so that the order of a sum does not show.
+        n, taken, free = w.agg(
+            F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("limit").cast("decimal(38,0)"))), F.lit(0)).cast("double"),
+            F.coalesce(F.sum(F.when(~full, F.col("weight").cast("decimal(38,0)"))), F.lit(0)).cast("double"),
+        ).first()
+        if n == held or not free:
+            break
+        share, held = (total - taken) / free, n
+    limited = F.col("limit") <= F.lit(share) * F.col("weight")
+    return w.select("source", "source_size", "weight", F.when(limited | F.lit(not free), F.col("limit")).otherwise(F.lit(share) * F.col("weight")).alias("target"))
+
+
+def _with(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their source, for sources that have any. facts: `__source`, `__share` of all words, and others; kept already.
+
+    Up to MANY sources are broadcast. With more, those with over 1 in MANY of the words are: no shuffle gathers the rows of a large
+    source in one task.
+    """
+    if facts.limit(MANY + 1).count() <= MANY:
+        return rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["__source"])).drop("__source", "__share")
+    large = F.broadcast(facts.where(F.col("__share") > 1 / MANY))  # fewer than MANY rows
+    small = facts.where(F.col("__share") <= 1 / MANY)
+    rest = rows.join(large, rows["source"].eqNullSafe(large["__source"]), "left_anti")
+    near = rows.join(large, rows["source"].eqNullSafe(large["__source"])).drop("__source", "__share")
+    return near.unionByName(rest.join(small, rest["source"].eqNullSafe(small["__source"])).drop("__source", "__share"))
 
 
 def _odds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds the plan's columns, the order statistic `odds` (null where a document is not drawn for) and its bin."""
-    row = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).drop("__source")
+    row = _with(rows, plan)
     part = F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0)
     row = row.withColumn("part", part)
     # p = f + f (1 - f) z with z between -1 and 1 and a size-weighted mean of 0: between 0 and 1, and right in expectation.
@@ -79,7 +102,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
 
     counted_rows: the same rows' id, source and size where they are at hand, to save a pass. Rows of size 0 are never taken,
     and a source of size 0 has target 0. A null source is one source, last in order. Repeated rows count and are ranked like
-    any others; of rows alike in all of id and size it doesn't matter which is taken. An empty table gives an empty one.
+    any others; of rows alike in all of id and size it doesn't matter which is taken. An empty table gives an empty one. Other
+    columns may have any name; one named like an added one is replaced.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
@@ -88,24 +112,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
         F.sum("size").alias("source_size"), F.sum((F.col("size") * _preference()).cast("decimal(38,0)")).cast("double").alias("leaning")
     )
     sizes = sizes.checkpoint()
+    total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double")).first()[0] or 1.0
     named = sizes.select(F.col("source").alias("__source"), "leaning")
     planned = targets(sizes.select("source", "source_size"), weights, most)
     planned = planned.join(named, planned["source"].eqNullSafe(named["__source"])).select(
-        "__source", "source_size", "target",
+        "__source", (F.col("source_size") / F.lit(total)).alias("__share"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("certain"),
         F.when(F.col("source_size") > 0, F.col("leaning") / F.col("source_size")).otherwise(0.0).alias("mean"),
     )
-    plan = _small(planned.withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size"))))
+    plan = planned.withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size"))).checkpoint()
     # Words of each (source, bin) first: where a source's missing words are reached, one bin's documents are ranked.
     counted = _odds(slim, plan).where("odds is not null").groupBy("source", "missing", "bin").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows a source
     edges = counted.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     crossed = edges.where(F.col("before") + F.col("words") > F.col("missing")).groupBy("source").agg(F.min(F.struct("bin", "before")).alias("cut"))
-    cuts = _small(crossed.select(F.col("source").alias("__source"), F.col("cut.bin").alias("cut"), F.col("cut.before").alias("before")))
-    drawn = _odds(slim if docs is counted_rows else docs, plan)
-    drawn = drawn.join(cuts, drawn["source"].eqNullSafe(cuts["__source"]), "left").drop("__source")
+    cuts = crossed.select(F.col("source").alias("__cut_source"), F.col("cut.bin").alias("cut"), F.col("cut.before").alias("before"))
+    plan = plan.join(cuts, plan["__source"].eqNullSafe(cuts["__cut_source"]), "left").drop("__cut_source").checkpoint()
+    packed, _ = pack(docs, {"id": F.col("id"), "source": F.col("source"), "size": F.col("size")})
+    drawn = _odds(packed, plan)
     edge = F.coalesce(F.col("odds").isNotNull() & (F.col("bin") == F.col("cut")), F.lit(False))
-    order = Window.partitionBy("source").orderBy("odds", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("odds", "id", "size").rowsBetween(Window.unboundedPreceding, -1)  # one bin a source
     ranked = drawn.where(edge).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     # A document that straddles the target is taken if that comes nearer to it.
     chosen = ranked.withColumn("extra", (F.col("ahead") + F.col("size") / 2 <= F.col("missing")).cast("long")).drop("ahead")
@@ -113,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     inside = F.col("odds").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
     both = drawn.where(~edge).withColumn("extra", inside.cast("long")).unionByName(chosen)
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("extra")).otherwise(0).cast("long")
-    return both.withColumn("copies", copies).select(*docs.columns, "source_size", "target", "copies")
+    return unpack(both.withColumn("copies", copies), docs, ["source_size", "target", "copies"])
 
 
 def _preference() -> Column:
@@ -126,7 +152,11 @@ def word_count(text: Column) -> Column:
 
 
 def mixing(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of documents."""
+    """doc_id, size, source_size, target, taken for each row of documents.
+
+    Null and blank texts have size 0 and are never taken; null ids are drawn for as one id. See mix() for null sources, ties,
+    repeated rows and empty tables. Other columns take no part.
+    """
     rows = docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     checkpoint_dir(docs.sparkSession)
     rows = rows.checkpoint()  # words are counted once; three narrow columns
@@ -135,15 +165,14 @@ def mixing(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it."""
-    columns = docs.columns
-    packed = docs.select(
-        F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.struct(*[F.col(c) for c in columns]).alias("row"),
-    )
+    """The rows of documents, each as often as the mix takes it; blank texts never.
+
+    Columns of any name and type pass through as they are. An empty table gives an empty one.
+    """
+    packed, _ = pack(docs, {"id": F.col("doc_id"), "source": F.col("source").cast("string"), "size": word_count(F.col("text"))})
     taken = mix(packed).where("copies > 0")
-    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpack(repeated, docs)
 
 
 MIXING_SQL = f"""
