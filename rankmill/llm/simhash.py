@@ -8,6 +8,10 @@ any four positions contain one of them. No pair that shares four bytes is missed
 each pair's shared positional bytes are tallied, pairs below MIN_SHARED go, and the rest are verified
 bit by bit. Equal fingerprints are one node from the start. A long posting list is cut into blocks that are
 compared two at a time, and a list gives at most a spanning forest of its links, not its pairs.
+
+With three bytes a key, lists grow with the corpus and comparisons with its square over 2**24. Beyond DENSE distinct
+fingerprints, where lists would hold more than DENSE / 2**24 on average, keys take four positions, each of the 70 sets of four: more
+rows, but lists 256 times shorter. Both find every link.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, map_texts, popcount
+from .common import checkpoint_dir, map_texts, pack, popcount, unpack
 
 #: Largest Hamming distance of a link, and the positional bytes that such a pair shares at least.
 BITS, MIN_SHARED = 4, 4
@@ -31,6 +35,10 @@ SHINGLE, SEED = 4, 42
 BLOCK = 1024
 #: Lists up to this length are compared pair by pair for a whole batch at once.
 SHORT = 8
+#: Distinct fingerprints from which keys take four positions instead of three.
+DENSE = 1 << 35
+#: Rows of one key in a join from which they are joined apart: at least, and as a share of all rows.
+HOT_ROWS, HOT_SHARE = 10_000, 100_000
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -47,6 +55,7 @@ def _triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = _triples()
+QUADS = list(combinations(range(8), MIN_SHARED))
 
 
 def fingerprint(text: bytes) -> int:
@@ -154,16 +163,20 @@ def _run_at_end(key: np.ndarray) -> int:
     return len(key) if not len(differ) else len(key) - 1 - int(differ[-1])
 
 
-def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
+def links(nodes: DataFrame, fp: str = "fp", positions: list[tuple[int, ...]] = TRIPLES) -> DataFrame:
     """Links (a < b) between distinct fingerprints at most BITS apart: all of them, up to what connects each list.
 
     Every pair within distance BITS is connected by the returned links, though a list shared by many near
-    fingerprints returns a spanning forest instead of all its pairs.
+    fingerprints returns a spanning forest instead of all its pairs. positions: sets of byte positions of which any MIN_SHARED
+    positions contain one, TRIPLES or QUADS.
     """
     byte = [F.shiftrightunsigned(F.col(fp), 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    keys = [
-        (F.lit(n << 24) + F.shiftleft(byte[i], 16) + F.shiftleft(byte[j], 8) + byte[k]).cast("long") for n, (i, j, k) in enumerate(TRIPLES)
-    ]
+    keys = []
+    for n, places in enumerate(positions):
+        key = F.lit(n).cast("long")
+        for k in places:
+            key = F.shiftleft(key, 8) + byte[k]
+        keys.append(key)
     posted = nodes.select(F.col(fp).alias("fp"), F.explode(F.array(*keys)).alias("key"))
     size = posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = posted.join(size, "key")
@@ -184,7 +197,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each end of an edge reaches, by alternating large and small stars.
 
     Each round is written to the shared checkpoint folder, which cuts lineage. All in DataFrames: neither links nor
-    components come to the driver, only a count and a checksum for each round.
+    components come to the driver, only a count and a checksum for each round. Rounds go on until nothing changes; a graph that
+    takes more than max_rounds (their number grows with the logarithm of a component's width) raises RuntimeError.
     """
     spark = edges.sparkSession
     checkpoint_dir(spark)
@@ -194,7 +208,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
     before = state(current)
-    for _ in range(max_rounds if before[0] else 0):
+    rounds = 0
+    while before[0]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components not found in {max_rounds} rounds")
+        rounds += 1
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -210,27 +228,47 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _join_named(rows: DataFrame, names: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with names, which has one row a key and `__rows`, how many rows have it. Keys of very many rows meet none in a shuffle.
+
+    Such keys have over HOT_ROWS rows and over a HOT_SHARE-th of all, so there are at most HOT_SHARE of them, and they are broadcast.
+    """
+    edge = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(names.where(F.col("__rows") > edge).drop("__rows"))  # at most HOT_SHARE rows
+    cold = names.where(F.col("__rows") <= edge).drop("__rows")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, `__fp` (long), root (its component's smallest fingerprint) and component_id for each row; component_id is the smallest id reachable through links.
 
     Null and blank texts have fingerprint zero and link like any other. Repeated rows and equal texts share a
-    fingerprint. A null id takes no part as a smallest id; a component of null ids only has a null component_id.
+    fingerprint. A null id takes no part as a smallest id; a component of null ids only has a null component_id. An empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
     prints = fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, [id_col]).checkpoint()
-    nodes = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("least")).checkpoint()
-    reached = components(links(nodes)).distinct()
-    rooted = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only fingerprints whose component is not their own smallest id need the component's.
-    names = rooted.join(first, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
-    return prints.join(names, "__fp").select(id_col, "__fp", "root", "component_id")
+    nodes = prints.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("least"), F.count("*").alias("copies")).checkpoint()
+    distinct, total = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    reached = components(links(nodes, positions=QUADS if distinct > DENSE else TRIPLES)).distinct()
+    linked = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", "root")
+    # Fingerprints without a link are their own component; only the others meet by root.
+    linked = linked.checkpoint()
+    alone = linked.where("root is null").select("fp", "copies", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    rooted = linked.select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    group = linked.where("root is not null").select("root").distinct()
+    rooted = rooted.join(group.withColumnRenamed("root", "__r"), F.col("root") == F.col("__r"), "left_semi")
+    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__rows"))
+    joined = _join_named(rooted.select("root", "fp", "copies"), first, "root", distinct).select("fp", "copies", "root", "component_id")
+    apart = alone.join(group, "root", "left_anti").select("fp", "copies", "root", "component_id")
+    names = apart.unionByName(joined).select(F.col("fp").alias("__fp"), "root", "component_id", F.col("copies").alias("__rows")).checkpoint()
+    return _join_named(prints, names, "__fp", total).select(id_col, "__fp", "root", "component_id")
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hex digits), component_id for each row of documents."""
-    found = near_duplicates(docs)
+    """doc_id, fingerprint (16 lower-case hex digits), component_id for each row of documents; see near_duplicates() for the edge cases."""
+    found = near_duplicates(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -238,16 +276,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: of its smallest doc_id, and of the smallest fingerprint where rows of that id differ.
 
     Rows with a null doc_id stay only where no row of their component has an id, one of each fingerprint. A repeated id in two
-    components keeps a row in each.
+    components keeps a row in each. Columns of any name and type but maps pass through as they are; of rows alike in id and
+    fingerprint it doesn't matter which stays. An empty table gives an empty one.
     """
     found = near_duplicates(docs.select("doc_id", "text"), "doc_id", "text")
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = best.where("doc_id is not null").groupBy("root", "doc_id").agg(F.min("__fp").alias("__fp"))
     unnamed = best.where("doc_id is null").select("root", "doc_id", "__fp").distinct()
     chosen = named.unionByName(unnamed).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__print")).distinct()
-    columns = docs.columns
-    whole = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], F.col("doc_id").alias("__key"), F.col("text").alias("__source_text"))
-    carry = [*[f"__c{i}" for i in range(len(columns))], "__key"]
-    printed = fingerprints(whole, "__source_text", carry)
+    packed, carry = pack(docs, {"__key": F.col("doc_id"), "__source_text": F.col("text")})
+    printed = fingerprints(packed, "__source_text", [*carry, "__key"])
     kept = printed.join(chosen, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print")), "left_semi")
-    return kept.dropDuplicates(["__key", "__fp"]).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+    return unpack(kept.dropDuplicates(["__key", "__fp"]), docs)
