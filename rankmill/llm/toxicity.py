@@ -1,9 +1,9 @@
 """Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and word beginnings of PREFIXES characters, so inflected and compounded forms meet their
-stem. Each text of a bounded sample of labelled texts is an example with a unit TF-IDF vector over all terms of the sample, with
-document frequencies of the corpus. The terms most associated with label 1 (chi-square, chosen one by one, TERMS at most)
-weigh TELLING times as much; no other term is left out. Examples are indexed by term in blocks of BLOCK consecutive examples:
+Terms are whole words, and those word beginnings of PREFIXES characters that tell the labels apart, so inflected and compounded
+forms meet their stem. Each text of a bounded sample of labelled texts is an example with a unit TF-IDF vector over all words of
+the sample, with document frequencies of the corpus. The words and beginnings most associated with label 1 (chi-square, chosen one
+by one, TERMS at most) weigh TELLING times as much; no word of an example is left out. Examples are indexed by term in blocks of BLOCK consecutive examples:
 postings of the rarer terms, and for common ones dense rows with the largest weight in the block. A query visits blocks by
 falling upper bound (its rare terms' best sum in the block, and the sum of query weight times block maximum over its common
 terms) and stops once its K-th best cosine is no less than the next bound, so the K nearest are exact. Votes weigh cosine times how many labelled rows an example stands for; the vote share is
@@ -24,7 +24,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_texts
+from .common import checkpoint_dir, id_remainder, map_texts, pack, unpack
 
 #: The fit's documented bounds: labelled rows of each label and bytes of such a text.
 SAMPLE = {1: 1500, 0: 2500}
@@ -38,8 +38,6 @@ MIN_SHARE = 0.75
 REMEMBER = 20_000
 #: At most one in so many of the sample's toxic rows votes.
 VOTERS_SHARE = 8
-#: Distinct words whose terms a Python worker remembers.
-REMEMBER_WORDS = 100_000
 #: Factor of the telling terms' weights; all other terms weigh by TF-IDF alone.
 TELLING = 4.0
 #: A term of more than one in so many examples is kept in dense blocks.
@@ -49,8 +47,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """The whole word (marked) and its beginnings."""
-    return ["=" + word, *[word[:k] for k in PREFIXES if k <= len(word)]]
+    """What may be chosen as telling for a word: the word, and its beginnings (marked)."""
+    return [word, *[word[:k] + "*" for k in PREFIXES if k <= len(word)]]
 
 
 @dataclass
@@ -76,23 +74,33 @@ class ToxicityModel:
     blank: float = 0.0
     voters: int = K
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    beginnings: dict[str, dict[str, int]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for term, place in self.vocabulary.items():
+            if term.endswith("*"):
+                self.beginnings.setdefault(term[: PREFIXES.start], {})[term[:-1]] = place
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary of a whole text's terms, rising, and how often each stands there."""
+        """Places in the vocabulary of a whole text's terms, and how often each stands there."""
         ids: list[int] = []
         times: list[int] = []
-        known, vocabulary = self.known, self.vocabulary
+        place, beginnings = self.vocabulary.get, self.beginnings
+        marked = False
         for word, n in Counter(WORD.findall(text.lower())).items():
-            found = known.get(word)
-            if found is None:
-                if len(known) >= REMEMBER_WORDS:
-                    known.clear()
-                found = known[word] = tuple(k for t in terms_of(word) if (k := vocabulary.get(t)) is not None)
-            ids += found
-            times += [n] * len(found)
-        keys, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-        return keys, np.bincount(at, times, len(keys))
+            if (k := place(word)) is not None:
+                ids.append(k)
+                times.append(n)
+            if (heads := beginnings.get(word[: PREFIXES.start])) is not None:
+                own = [k for head, k in heads.items() if word.startswith(head)]
+                ids += own
+                times += [n] * len(own)
+                marked = True
+        keys, often = np.array(ids, dtype=np.int64), np.array(times, dtype=np.float64)
+        if marked:  # several words may share a beginning
+            keys, at = np.unique(keys, return_inverse=True)
+            often = np.bincount(at, often, len(keys))
+        return keys, often
 
     def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector of a whole text over the vocabulary: places and weights; empty where it has no term."""
@@ -146,8 +154,7 @@ class ToxicityModel:
             if len(top_s) >= k and top_s[k - 1] >= bound[order[done]] + 1e-12:
                 break
             visited = order[done : done + step]
-            for b in visited:
-                score[b] += wide @ self.dense[b]
+            score[visited] += wide @ self.dense[visited]
             s = np.round(score[visited].ravel(), 12)
             e = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             fine = (s > 0) & (e != skip)
@@ -186,34 +193,27 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return xs, np.array([v for p in pools for v in (p[1], p[1])])
 
 
-def vocabulary_of(sample: list[tuple[str, int, str]]) -> dict[str, int]:
-    """All terms of the sampled texts, in order, and their places."""
-    words = {w for _, _, text in sample for w in WORD.findall(text.lower())}
-    return {t: k for k, t in enumerate(sorted({t for w in words for t in terms_of(w)}))}
-
+def tellers(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> list[str]:
+    """At most TERMS words and beginnings, of those that MIN_SHARE of the labelled rows with them have label 1 for, by chi-square.
 
-def train(sample: list[tuple[str, int, str]], totals: dict[int, int], corpus: tuple[int, np.ndarray] | None = None) -> ToxicityModel:
-    """(id text, label, text) rows and the number of labelled rows of each label -> model. Deterministic.
-
-    corpus: how many texts there are, and how many of them hold each term of vocabulary_of(sample); the sample's own if None.
+    Each chosen term halves what the rows with it count for the next ones: words that only keep company with telling ones, or come
+    from copies of one text, are left with too little.
     """
-    sample = sorted(sample)
-    labels = np.array([y for _, y, _ in sample], dtype=float)
-    size = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
-    weights = np.array([totals.get(int(y), 0) / size[int(y)] for y in labels]) if len(labels) else labels
     seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-    for _, y, text in sample:
-        seen[y].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
-    n1, n0 = size[1] * 1.0, size[0] * 1.0
+    words = {y: [set(WORD.findall(text.lower())) for _, label, text in sample if label == y] for y in (0, 1)}
+    positive = [{t for w in row for t in terms_of(w)} for row in words[1]]
+    for row in positive:
+        seen[1].update(row)
+    n1, n0 = max(1, len(words[1])) * 1.0, max(1, len(words[0])) * 1.0
     up1, up0 = totals.get(1, 0) / n1, totals.get(0, 0) / n0
-    least = max(1, min(MIN_ROWS, size[1] // ROWS_SHARE))
-    rows_of: dict[str, list[int]] = {t: [] for t, a in seen[1].items() if a >= least and a * up1 >= MIN_SHARE * (a * up1 + seen[0][t] * up0)}
-    positive = [text for _, y, text in sample if y == 1]
-    for i, text in enumerate(positive):
-        for t in {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)} & rows_of.keys():
+    least = max(1, min(MIN_ROWS, int(n1) // ROWS_SHARE))
+    often = {t for t, a in seen[1].items() if a >= least}
+    for row in words[0]:
+        seen[0].update({t for w in row for t in terms_of(w)} & often)
+    rows_of: dict[str, list[int]] = {t: [] for t in often if seen[1][t] * up1 >= MIN_SHARE * (seen[1][t] * up1 + seen[0][t] * up0)}
+    for i, row in enumerate(positive):
+        for t in row & rows_of.keys():
             rows_of[t].append(i)
-    # Each chosen term halves what the rows with it count for the next ones: words that only keep company with
-    # telling ones, or come from copies of one text, are left with too little.
     part = np.ones(len(positive))
     chosen: list[str] = []
     open_ = {t: np.array(r) for t, r in rows_of.items()}
@@ -231,11 +231,37 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int], corpus: tu
         best = min(open_, key=lambda t: (-chi_square(t, held[t]), -len(t), t))
         chosen.append(best)
         part[open_.pop(best)] /= 2
-    vocabulary = vocabulary_of(sample)
+    return sorted(chosen)
+
+
+def vocabulary_of(sample: list[tuple[str, int, str]], telling: list[str]) -> dict[str, int]:
+    """All words of the sampled texts and the telling terms, in order, and their places."""
+    words = {w for _, _, text in sample for w in WORD.findall(text.lower())}
+    return {t: k for k, t in enumerate(sorted(words | set(telling)))}
+
+
+def train(
+    sample: list[tuple[str, int, str]], totals: dict[int, int], corpus: tuple[int, np.ndarray] | None = None, telling: list[str] | None = None
+) -> ToxicityModel:
+    """(id text, label, text) rows and the number of labelled rows of each label -> model. Deterministic.
+
+    telling: the terms that weigh more, those of tellers() if None. corpus: how many texts there are, and how many of them hold
+    each term of vocabulary_of(sample, telling); the sample's own if None.
+    """
+    sample = sorted(sample)
+    labels = np.array([y for _, y, _ in sample], dtype=float)
+    size = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
+    weights = np.array([totals.get(int(y), 0) / size[int(y)] for y in labels]) if len(labels) else labels
+    telling = tellers(sample, totals) if telling is None else telling
+    vocabulary = vocabulary_of(sample, telling)
     if corpus is None:
-        corpus = len(sample), np.array([seen[0][t] + seen[1][t] for t in vocabulary], dtype=float)
+        counter = ToxicityModel({}, vocabulary, np.zeros(0), labels, weights, [])
+        held = np.zeros(len(vocabulary))
+        for _, _, text in sample:
+            held[counter.counts(text)[0]] += 1
+        corpus = len(sample), held
     idf = np.log((1 + corpus[0]) / (1 + corpus[1])) + 1
-    terms = {t: vocabulary[t] for t in sorted(chosen)}
+    terms = {t: vocabulary[t] for t in telling}
     idf[list(terms.values())] *= TELLING
     model = ToxicityModel(terms, vocabulary, idf, labels, weights, [i for i, _, _ in sample])
     model.voters = max(1, min(K, size[1] // VOTERS_SHARE))  # more would be mostly label 0 whatever the text
@@ -248,24 +274,29 @@ def train(sample: list[tuple[str, int, str]], totals: dict[int, int], corpus: tu
     shares = np.array([model.share(vectors[i], skip=i)[0] for i in own])
     if len(own):
         model.steps = _monotone(shares, labels[own], weights[own])
-    model.known.clear()
     return model
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str) -> tuple[list, dict[int, int]]:
-    """A bounded sample of labelled rows, by a hash of their ids, and how many labelled rows there are.
+    """A bounded sample of labelled rows, by a hash of their ids, and how many labelled rows there are to choose from.
 
-    labels holds the usable ids. Ids that are labelled both ways count as label 1. Ids are chosen before any text is read.
+    labels holds the usable ids. Ids that are labelled both ways count as label 1. Only labels whose document is there, with a text
+    of at most SAMPLE_TEXT_BYTES, count and can be chosen; ids are chosen before any text is gathered. Of rows with one id the
+    smallest text counts.
     """
     rows = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     ids = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
-    totals = {r["__y"]: r["count"] for r in ids.groupBy("__y").count().collect()}
+    short = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_TEXT_BYTES))
+    there = ids.join(short.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    checkpoint_dir(docs.sparkSession)
+    there = there.checkpoint()  # ids and labels alone
+    totals = {r["__y"]: r["count"] for r in there.groupBy("__y").count().collect()}
     chosen = None
     for y, most in SAMPLE.items():
-        part = ids.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
+        part = there.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    short = docs.where(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    found = short.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).collect()  # at most sum(SAMPLE.values()) rows
+    texts = short.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
+    found = texts.groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()  # at most sum(SAMPLE.values()) rows
     return [(str(r["__id"]), r["__y"], r["__text"]) for r in found], totals
 
 
@@ -300,8 +331,12 @@ def _forget(shared: Broadcast) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """The model of a sample of labelled rows, with document frequencies of all rows of docs."""
     sample, totals = training_sample(docs, labels, usable, id_col, text_col, label_col)
-    return train(sample, totals, document_counts(docs, vocabulary_of(sample), text_col) if sample else None)
+    if not sample:
+        return train([], totals)
+    telling = tellers(sorted(sample), totals)
+    return train(sample, totals, document_counts(docs, vocabulary_of(sample, telling), text_col), telling)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -322,7 +357,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             if key not in known:
                 if len(known) >= REMEMBER:
                     known.clear()
-                score, found = m.score(m.arrays((text or b"").decode()))
+                score, found = m.score(m.arrays((text or b"").decode("utf-8", "replace")))
                 known[key] = score, [m.ids[e] for e in found[:5]]
             scores.append(known[key][0])
             evidence.append(known[key][1])
@@ -332,16 +367,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence for each row of documents."""
+    """doc_id, held_out, score, predicted, evidence for each row of documents.
+
+    Null ids are scored and not learnt from; see score_toxicity() for null, empty and equal texts, training_sample() for repeated
+    ids. Other columns take no part; an empty table gives an empty one.
+    """
     remainder = id_remainder(F.col("doc_id"), 5)
     model = fit(docs, labels, remainder != 0)
     return score_toxicity(docs.select("doc_id", (remainder == 0).alias("held_out"), "text"), model, carry=["doc_id", "held_out"])
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that are not predicted toxic. The labelled texts come from docs."""
-    columns = docs.columns
+    """The rows of documents that are not predicted toxic. The labelled texts come from docs.
+
+    Columns of any name and type pass through as they are; equal texts stay or go together; an empty table gives an empty one.
+    """
     model = fit(docs, labels, id_remainder(F.col("doc_id"), 5) != 0)
-    text = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], F.col("text").alias("__source_text"))
-    scored = score_toxicity(text, model, "__source_text", [f"__c{i}" for i in range(len(columns))])
-    return scored.where("predicted = 0").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+    packed, carry = pack(docs, {"__source_text": F.col("text")})
+    scored = score_toxicity(packed, model, "__source_text", carry)
+    return unpack(scored.where("predicted = 0"), docs)
