@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, text_or_empty
+from .common import ascii_words, checkpoint_dir, text_or_empty
 
 BUCKETS, PRIOR, THRESHOLD = 10_000, 10_000.0, -0.12
 #: The fit's documented bound: trusted texts that are counted.
@@ -88,7 +88,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(ids.withColumn("__good", F.lit(1)), "__id", "left")
     split = found.select(F.coalesce("__good", F.lit(0)).alias("good"), ascii_words(F.col("__t")).alias("__words"))
     grams = split.select("good", F.explode(buckets(F.col("__words"))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("raw"))
+    checkpoint_dir(docs.sparkSession)
+    counts = grams.groupBy("bucket").agg(F.sum("good").alias("good"), F.count("*").alias("raw")).checkpoint()  # at most BUCKETS rows
     sums = counts.agg(F.sum("good").alias("all_good"), F.sum("raw").alias("all_raw"))
     # The trusted multinomial is smoothed by PRIOR n-grams dealt like the raw ones: with few trusted texts ratios near 0.
     raw = F.col("raw") / F.col("all_raw")
@@ -99,21 +100,21 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs.
 
-    trusted names the trusted texts' ids. score is null for texts without a word, which fail the base rules. kept: passes the
-    base rules and scores at least THRESHOLD. Null texts are empty; repeated rows get equal results.
+    trusted names the trusted texts' ids; null and repeated ones count once or not at all. score is null for texts without a
+    word, which fail the base rules. kept: passes the base rules and scores at least THRESHOLD. Null texts are empty; repeated
+    rows get equal results; other columns take no part; an empty table gives an empty one.
     """
-    ratios = log_ratios(docs, trusted, id_col, text_col)
-    filled = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(ratios, "bucket", "left")
-    listed = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))).alias("r"))
-    weights = listed.select(F.transform("r", lambda x: x["ratio"]).alias("w")).scalar()  # BUCKETS numbers
+    found = {r["bucket"]: r["ratio"] for r in log_ratios(docs, trusted, id_col, text_col).collect()}  # at most BUCKETS rows
+    # One constant array for all rows: folded when the plan is made, and never a column of a row.
+    weights = F.split(F.lit(",".join(repr(found.get(b, 0.0)) for b in range(BUCKETS))), ",").cast("array<double>")
     df = with_base(docs.select(F.col(id_col), F.col(text_col)), text_col)
-    df = df.withColumn("__b", buckets(F.col("__words"))).withColumn("__w", weights)
-    total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get(F.col("__w"), b.cast("int")))
+    df = df.withColumn("__b", buckets(F.col("__words")))
+    total = F.aggregate("__b", F.lit(0.0), lambda acc, b: acc + F.get(weights, b.cast("int")))
     df = df.withColumn("score", F.when(F.size("__b") > 0, F.round(total / F.size("__b"), 9)))
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= THRESHOLD)
     return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """quality() over documents; documents labelled of quality 1 are the trusted texts."""
+    """quality() over documents; documents labelled of quality 1 are the trusted texts. See there for the edge cases."""
     return quality(docs, labels.where("quality = 1").select("doc_id"))
