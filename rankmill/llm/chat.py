@@ -34,8 +34,11 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     Columns: conv_id, perspective, turn, part (position in the rendering, from 0), speaker, chat_role (`assistant` or
     `user`), rendered, start, end (code points in the whole rendering, end exclusive), mask_start, mask_end (the span that
     counts for the loss; equal where nothing does). A null role is the participant `unknown`; null text is empty. Rows follow
-    turn, nulls first, then speaker, then text; repeated rows stay repeated. Names cannot forge a mark: `<|` is broken up.
-    A conversation with one participant has one rendering; an empty table has none.
+    turn, nulls first, then speaker, then text; repeated rows stay repeated. Texts and names cannot forge a mark: `<|` in them is
+    broken up by a zero-width space, the one change to a text. Every role is a participant, `system` too. A conversation with one
+    participant has one rendering; an empty table has none. Null conversation ids are one conversation. Other columns take no
+    part. The output has turns times participants rows a conversation, as the rotation asks for: where everyone speaks once, that
+    is the square of its turns.
     """
     said = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),

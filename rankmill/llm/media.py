@@ -105,7 +105,8 @@ def describe(text: bytes) -> dict:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
     """One row per row of docs: the columns of describe(), the stored form itself only with keep_media.
 
-    Null texts count as empty, whose payload is GRAIN bytes of padding. Equal texts get equal values.
+    Null texts count as empty, whose payload is GRAIN bytes of padding. Equal texts get equal values. Null and repeated ids are
+    carried as they are, other columns take no part, and an empty table gives an empty one.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hashes", "times"]
     names += ["media"] * keep_media
