@@ -1,9 +1,12 @@
 """Operators of the corpus subpackage on small tables, against brute force."""
 
+import collections
 import datetime
 import hashlib
 import itertools
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -72,30 +75,91 @@ def test_quality_ratio_rejects_what_trusted_texts_lack(spark):
     assert all(rows[i].kept for i in range(30)) and not any(rows[i].kept for i in range(30, 40))
 
 
+def test_quality_score_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PRIOR", 50.0)
+    rng = np.random.default_rng(8)
+    vocab = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(rng.choice(vocab[: 20 if i < 6 else 60], int(rng.integers(0, 90)))) for i in range(20)} | {20: None, 21: "é  é\té"}
+    trusted = [0, 1, 2, 3, 4, 5, 20, 99]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    # Hashes of the words and pairs, as numbers of one list, so that the counts below are the test's own.
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
+    grams = {i: [(w,) for w in ws] + list(itertools.pairwise(ws)) for i, ws in words.items()}
+    distinct = sorted({g for gs in grams.values() for g in gs})
+    rows = spark.createDataFrame([(k, g[0], g[1] if len(g) > 1 else None) for k, g in enumerate(distinct)], "k int, a string, b string")
+    number = {r.k: r.h for r in rows.selectExpr("k", f"pmod(if(b is null, xxhash64(a), xxhash64(a, b)), {quality.BUCKETS}) AS h").collect()}
+    bucket = {g: number[k] for k, g in enumerate(distinct)}
+    raw, good = collections.Counter(), collections.Counter()
+    for i, gs in grams.items():
+        raw.update(bucket[g] for g in gs)
+        good.update(bucket[g] for g in gs if i in trusted)
+    n_raw, n_good = sum(raw.values()), sum(good.values())
+    ratio = {b: math.log((good[b] + 50.0 * c / n_raw) / (n_good + 50.0) / (c / n_raw)) for b, c in raw.items()}
+    for r in quality.quality_rules(docs, labels(spark, [(i, 1, 0) for i in trusted] + [(7, 0, 0)])).collect():
+        want = sum(ratio[bucket[g]] for g in grams[r.doc_id]) / len(grams[r.doc_id]) if grams[r.doc_id] else None
+        assert r.score == (None if want is None else pytest.approx(want, abs=1e-8))
+        assert r.kept == (not r.base_failed and (want or 0.0) >= quality.THRESHOLD)
+
+
+def test_quality_plan_has_no_wide_row_and_one_count_of_the_corpus(spark):
+    docs = spark.createDataFrame([(i, "a b c " * 30) for i in range(8)], "doc_id long, text string")
+    plan = quality.quality_rules(docs, labels(spark, [(1, 1, 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "__w#" not in plan
+
+
 # ---- language
 
 
-def test_code_lengths_match_a_direct_computation():
-    sample = [("a", b"abracadabra abracadabra"), ("b", b"hello world hello")]
+def brute_code_length(training, text):
+    """PPM by its definition, over dictionaries: bits of a text under the texts of one language."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in training:
+        t = b"\xff" * language_id.ORDER + t
+        for i in range(language_id.ORDER, len(t)):
+            for k in range(language_id.ORDER + 1):
+                seen[t[i - k : i]][t[i]] += 1
+
+    def probability(context, byte):
+        below = lambda b: probability(context[1:], b) if context else 1 / 256
+        if context not in seen:
+            return below(byte)
+        own = seen[context]
+        left = 1 - sum(map(below, own))
+        if byte in own:
+            return own[byte] / (sum(own.values()) + (len(own) if left > 1e-12 else 0))
+        return len(own) / (sum(own.values()) + len(own)) * below(byte) / left
+
+    t = b"\xff" * language_id.ORDER + text
+    return sum(-math.log2(probability(t[i - language_id.ORDER : i], t[i])) for i in range(language_id.ORDER, len(t)))
+
+
+def test_code_lengths_against_brute_force():
+    sample = [("a", b"abracadabra abracadabra"), ("b", b"hello world hello"), ("b", "h\u00e9llo \u00e0 tous".encode()), ("c", b"zz"), ("d", "\u3053\u3093\u306b\u3061\u306f".encode())]
+    texts = [b"abra hello zz", b"", "\u3053\u3053 \xe9".encode(), b"\x00\xfe zzz", b"abracadabra", b"zzzzzzzz"]
     model = language_id.train(sample)
-    for cost in model.costs:
-        p = np.exp2(-cost.reshape(-1, model.width).astype(float))
-        share = np.ones(model.width)
-        share[0], share[1] = 0, 256 - (model.width - 2)
-        assert np.allclose((p * share).sum(1), 1, atol=1e-5)
-    text = b"abra hello zz"
-    want = []
-    for cost in model.costs:
-        seq = [0, 0, 0, *model.symbols[np.frombuffer(text, np.uint8)]]
-        bits = 0.0
-        for i in range(3, len(seq)):
-            ctx = (seq[i - 3] * model.width + seq[i - 2]) * model.width + seq[i - 1]
-            bits += float(cost[model.nodes[ctx] * model.width + seq[i]])
-        want.append(bits)
-    assert np.allclose(model.code_lengths([text, b"", text])[0], want) and np.allclose(model.code_lengths([text, b"", text])[2], want)
-    assert not model.code_lengths([b""]).any()
-    big = model.code_lengths([b"x" * 10, text * 100_000])[1]
-    assert big[0] > 0 and np.isfinite(big).all()
+    want = [[brute_code_length([t for x, t in sample if x == lang], text) for lang in "abcd"] for text in texts]
+    assert np.allclose(model.code_lengths(texts), want, rtol=1e-5) and not model.code_lengths([b""]).any()
+    assert language_id.train([]).code_lengths([b"x"]).shape == (1, 0)
+    big = model.code_lengths([b"x" * 10, texts[0] * 100_000, texts[0]])
+    assert np.isfinite(big).all() and np.allclose(big[2], want[0], rtol=1e-5)
+
+
+def test_letters_are_category_l():
+    assert [language_id.has_letter(t.encode()) for t in ("\u00bd \u00b2 \u2167 12 _", "a", "\u00aa", "\u3042")] == [False, True, True, True]
+    assert not language_id.has_letter(b"\xff\xfe 1")
+
+
+def test_language_samples(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 50)
+    rows = [(i, "long text " * 400, "long") for i in range(300)] + [(1000 + i, f"short {i}", "short") for i in range(40)]
+    rows += [(5000, "the same", "one")] * 400 + [(6000 + i, f"text {i}", f"l{i:03}") for i in range(90)] + [(9000, "x", None), (None, "y", "none"), (9001, None, "null"), (9002, " \n", "blank")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = language_id.training_sample(docs, language_id.F.lit(True), "doc_id", "text", "lang", texts=60)
+    count = collections.Counter(lang for lang, _ in got)
+    assert count["long"] == 60 and count["short"] == 40 and count["one"] == 1 and all(count[f"l{i:03}"] == 1 for i in range(90))
+    assert not {"none", "null", "blank"} & count.keys() and max(len(t) for _, t in got) <= 50
+    assert got == language_id.training_sample(docs.repartition(2), language_id.F.lit(True), "doc_id", "text", "lang", texts=60)
+    assert len(language_id.train(got).languages) == 93
 
 
 def test_language_id(spark, edge, empty):
@@ -133,6 +197,8 @@ def test_sharding_against_brute_force(spark, empty):
         assert (r.shard, r.depth, r.shard_bytes, r.shard_rows) == (bits[r.id][:d], d, sum(b for _, b in inside), len(inside))
         assert r.oversize == (r.shard_bytes > 400)
     assert sharding.sharding(empty).count() == 0
+    cells = sharding.directory(spark.createDataFrame(rows, "id long, bytes long"), limit=400).collect()
+    assert {(c.shard, c.shard_bytes) for c in cells} == {(r.shard, r.shard_bytes) for r in got} and all(c.cell.startswith(c.shard) for c in cells)
 
 
 # ---- toxicity
@@ -143,7 +209,7 @@ def test_block_max_search_is_exact():
     words = ["idiot", "moron", "scum", "clown", "vile", "crud"]
     sample = [(f"{i:04}", int(i % 3 == 0), " ".join(rng.choice(words, rng.integers(1, 6))) + " plain words" if i % 3 == 0 or rng.random() < 0.1 else "plain words only here") for i in range(600)]
     model = toxicity.train(sample, {1: 200, 0: 400})
-    assert {t.strip("=")[:3] for t in model.terms} <= {w[:3] for w in words} and len(model.terms) >= 5
+    assert {t[:3] for t in model.terms} <= {w[:3] for w in words} and len(model.terms) >= 5
     vectors = [model.vector(t) for _, _, t in sorted(sample)]
     for text in ("idiot clown", "scum scum moron vile", "crud"):
         q = model.vector(text)
@@ -185,10 +251,48 @@ def test_every_term_of_an_example_takes_part():
     assert len(model.score(model.vector("plain day"))[1]) > 0
 
 
+def test_vectors_and_cosines_against_brute_force(monkeypatch):
+    """TF-IDF written out over dictionaries, for whole words and the model's telling terms."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    sample = [(f"{i:03}", int(i % 4 == 0), " ".join([*rng.choice([f"w{'abcdefghij'[k]}" for k in range(10)], 6), *(["Idiot", "idiots"][i % 2 : i % 2 + 1] if i % 4 == 0 else [])])) for i in range(200)]
+    model = toxicity.train(sample, {1: 50, 0: 150})
+
+    def vector(text):
+        raw = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            raw.update({t for t in (w, *[t for t in model.terms if t.endswith("*") and w.startswith(t[:-1])])} & model.vocabulary.keys())
+        idf = {t: (math.log((1 + len(sample)) / (1 + held[t])) + 1) * (toxicity.TELLING if t in model.terms else 1) for t in raw}
+        out = {t: (1 + math.log(n)) * idf[t] for t, n in raw.items()}
+        size = math.sqrt(sum(x * x for x in out.values()))
+        return {t: x / size for t, x in out.items()}
+
+    held = collections.Counter()
+    for _, _, text in sample:
+        ws = set(re.findall(r"[^\W\d_]+", text.lower()))
+        held.update({t for t in model.vocabulary if t in ws or (t.endswith("*") and any(w.startswith(t[:-1]) for w in ws))})
+    vectors = [vector(t) for _, _, t in sorted(sample)]
+    for text in ("wa wb idiots", "Idiot wc wc", "wj", "never seen"):
+        q = vector(text)
+        cosine = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 9), e) for e, v in enumerate(vectors))
+        want = [(e, -c) for c, e in cosine if c < 0][: toxicity.K]
+        found, score = model.nearest(model.arrays(text))
+        assert np.allclose(score, [c for _, c in want]) and {e for e, c in want if c > want[-1][1] + 1e-9} <= set(found.tolist())
+
+
+def test_labels_without_documents_take_no_part(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 30, 0: 40})
+    marks = labels(spark, [(i, 1, i % 2) for i in range(4000)])
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3900, 4000)] + [(3901, "another"), (3903, "x" * 70_000)], "doc_id long, text string")
+    sample, totals = toxicity.training_sample(docs, marks, toxicity.F.lit(True), "doc_id", "text", "toxic")
+    assert totals == {0: 50, 1: 50} and collections.Counter(y for _, y, _ in sample) == {1: 30, 0: 40}
+    assert all(text in (f"text {i}", "another") for i, _, text in sample)
+
+
 def test_idf_counts_the_corpus(spark):
     docs = spark.createDataFrame([(i, "idiot words" if i % 2 else "words") for i in range(10)] + [(99, None)], DOCS.split(", lang")[0]).repartition(3)
-    n, held = toxicity.document_counts(docs, {"=idiot": 0, "=words": 1, "=never": 2}, "text")
-    assert n == 11 and list(held) == [5, 10, 0]
+    n, held = toxicity.document_counts(docs, {"idiot": 0, "words": 1, "never": 2, "idi*": 3}, "text")
+    assert n == 11 and list(held) == [5, 10, 0, 5]
 
 
 # ---- pieces
@@ -223,6 +327,32 @@ def test_n_best_against_all_segmentations():
             assert v.decode(np.concatenate(parts)) == s
 
 
+def test_repeated_characters_do_not_stall():
+    v = sentencepiece.pieces()
+    for text in ("-" * 231, "-" * 407, "=" * 1603, "\u65e5" * 5000, "-" * 100_000, "x" * 20_000):
+        start = time.time()
+        ids, scores, edits = v.encode(text)
+        assert v.decode(ids) == text and scores == sorted(scores, reverse=True) and time.time() - start < 20
+
+    def every(part, n):
+        best = [[0.0]]
+        for at in range(1, len(part) + 1):
+            best.append(sorted((x + score for start, score, _ in v.edges(part, at) for x in best[start]), reverse=True)[:n])
+        return best[-1]
+
+    for part in (" " + "-" * 60, "=" * 41, "----==--==", "...!!!...!!!"):
+        found = v.n_best(part, 6)
+        assert [s for s, _ in found] == every(part, 6) and len({ids for _, ids in found}) == 6
+        assert all(b"".join(v.text[i] for i in ids).decode() == part for _, ids in found)
+
+
+def test_bytes_that_are_no_utf8_come_back():
+    v = sentencepiece.pieces()
+    raw = b"a\xff\xfe \xed\xa0\x80 b"
+    text = raw.decode("utf-8", "surrogateescape")
+    assert v.decode(v.encode(text)[0]).encode("utf-8", "surrogateescape") == raw
+
+
 def test_sentencepiece_round_trip(spark, edge, empty):
     rows = sentencepiece.sentencepiece_nbest(edge).collect()
     assert len(rows) == len(EDGE) and all(r.round_trip and r.n_pieces == len(r.piece_ids) for r in rows)
@@ -251,18 +381,19 @@ def test_license_scan_against_brute_force(spark, edge, empty):
             found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
             places += found
             base |= {label} if found else set()
-        extra, share = set(), 0.0
-        for line in low.split("\n"):
-            block = set(word.findall(line))
-            for t, label in licenses.TEMPLATES.items():
-                part = len(block & set(t.split(" "))) / len(set(t.split(" ")))
-                if part >= licenses.CONTAINMENT:
-                    extra.add(label)
-                    share = max(share, part)
+        rows = licenses.templates()
+        blocks = []
+        for t, label, wanted, need, reach in rows:
+            for start in range(len(words)):
+                part = len(set(words[start : start + reach]) & set(wanted))
+                if part >= need:
+                    blocks.append((t, label, start, part / len(wanted)))
         r = got[k]
-        assert (r.n_words, r.n_base, r.base_labels, r.labels) == (len(words), len(places), ",".join(sorted(base)), ",".join(sorted(base | extra)))
+        assert {b.label for b in r.blocks} == {b[1] for b in blocks} and r.score == pytest.approx(1.0 if places else max([b[3] for b in blocks], default=0.0))
+        assert {(b.label, b.start, round(b.share, 9)) for b in r.blocks} <= {(label, start, round(share, 9)) for _, label, start, share in blocks}
+        assert base <= set(r.labels.split(",")) - {""} <= base | {b[1] for b in blocks} and (not blocks or r.labels)
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted(base)))
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
-        assert r.score == pytest.approx(1.0 if places else share)
     assert licenses.license_scan(empty).count() == 0
 
 
@@ -273,7 +404,14 @@ def test_license_templates_across_line_ends(spark):
     rows = [(1, bsd), (2, "word " * 37 + "\n" + mit), (3, far), (4, "x\n" + bsd.replace("\n# ", " ") + "\ny")]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].labels for i in (1, 2, 3, 4)] == ["bsd", "mit", "", "bsd"] and [got[i].score for i in (1, 2, 3)] == [1.0, 1.0, 0.0]
-    assert got[4].n_blocks == 1
+    assert [(b.label, b.start) for b in got[4].blocks] == [("bsd", 0)]
+
+
+def test_licenses_that_quote_each_other(spark):
+    texts = ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+             "this program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["lgpl", "cc-by-nc", "gpl"] and {b.label for b in rows[0].blocks} >= {"lgpl", "gpl"}
 
 
 # ---- media
@@ -338,6 +476,24 @@ def test_mixing(spark, shape):
         assert all(r.taken in {k * r.size for k in range(4)} for r in own)
 
 
+@pytest.mark.parametrize("many", [2, 20_000])
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch, many):
+    monkeypatch.setattr(mixing, "MANY", many)
+    rows = [(k * 1000 + i, " ".join(["w"] * (i % 9)), f"s{k:02}" if k else None) for k in range(12) for i in range(30 if k != 3 else 200)]
+    got = mixing.mixing(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    source_of = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and all(r.target == pytest.approx(want[source_of[r.doc_id]]) for r in got)
+    taken = hashlib.md5(repr(sorted((r.doc_id, r.taken) for r in got)).encode()).hexdigest()
+    assert taken == TAKEN.setdefault("many", taken)
+
+
+TAKEN: dict[str, str] = {}
+
+
 def test_mixing_edges(spark, edge, empty):
     assert mixing.mixing(empty).count() == 0 and mixing.sampled(empty).count() == 0
     got = mixing.sampled(edge)
@@ -352,6 +508,17 @@ def test_triples_cover_every_four_positions():
     assert all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in itertools.combinations(range(8), 4))
 
 
+def test_quads_cover_every_four_positions():
+    assert len(simhash.QUADS) == 70 and all(len(q) == 4 for q in simhash.QUADS)
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        simhash.components(chain, max_rounds=1)
+    assert {r.root for r in simhash.components(chain).collect()} == {0}
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -365,8 +532,8 @@ def test_fingerprints(edge):
         assert simhash.fingerprint((text or "").encode()) == brute_fingerprint(text if text is not LONG else LONG[:0] or text)
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_components_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "positions"), [(4, simhash.TRIPLES), (1024, simhash.TRIPLES), (1024, simhash.QUADS)])
+def test_components_against_brute_force(spark, monkeypatch, block, positions):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(4)
     prints = []
@@ -389,7 +556,7 @@ def test_components_against_brute_force(spark, monkeypatch, block):
             lo, hi = sorted((find(a), find(b)))
             want[hi] = lo
     nodes = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(nodes)).distinct().collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links(nodes, positions=positions)).distinct().collect()}
     assert {p: found.get(p, p) for p in prints} == {p: find(p) for p in prints}
 
 
@@ -421,6 +588,47 @@ def test_one_of_each_component_with_null_and_repeated_ids(spark):
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
 
 
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rows = [(i, f"text number {i // 4} of a few words that are not so many as to be long") for i in range(60)] + [(None, " "), (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_near_dedup(docs).collect()}
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
+    assert len(got) == 63 and got[None] == got[70] == got[71]
+    for i, j in itertools.combinations([i for i in got if i is not None], 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4:
+            assert got[i] == got[j]
+
+
+# ---- columns of any name
+
+
+NAMES = ["a.b", "x`y", "id", "size", "odds", "bin", "p", "part", "certain", "missing", "before", "cut", "mean", "cell", "depth", "row", "__fp", "__lang", "score", "copies", "__c0"]
+
+
+def test_extra_columns_of_any_name_pass_through(spark, empty):
+    import corpus_pipeline
+
+    rows = [(i, f"some english words about the number {i} and the day, and then some more words to fill a line of text number {i * i}", "en", f"s{i % 2}", *[i * 10 + k for k in range(len(NAMES))]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in NAMES))
+    want = {r[0]: r[4:] for r in rows}
+    marks = labels(spark, [(i, 1, 0) for i in range(30)])
+    for stage in (language_id.accepted, lambda d: toxicity.accepted(d, marks), simhash.one_of_each, mixing.sampled):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        assert found and all(tuple(r)[4:] == want[r[0]] for r in found)
+    extra = [n for n in NAMES if n not in ("id", "size")]
+    sized = docs.select("doc_id", "source", *[f"`{n.replace('`', '``')}`" for n in extra]).withColumnRenamed("doc_id", "id")
+    mixed = mixing.mix(sized.withColumn("size", sized["id"] + 1))
+    assert [c for c in mixed.columns if c not in ("source_size", "target", "copies")] == ["id", "source", *[n for n in extra if n != "copies"], "size"]
+    assert {r["odds"] for r in mixed.select("odds").collect()} <= {v[4] for v in want.values()}
+    placed = sharding.shards(sized.withColumn("bytes", sized["id"]))
+    assert {r["depth"] for r in placed.select("depth").distinct().collect()} == {0} and {r["cell"] for r in placed.select("cell").collect()} == {v[13] for v in want.values()}
+    assert corpus_pipeline.mix_sources(spark, empty, "").count() == 0 and corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+
+
 # ---- chat
 
 
