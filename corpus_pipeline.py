@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A driver
 may write each result and read it again as the next stage's docs; run() does that in the shared checkpoint folder.
+
+All stages take null ids, texts and sources, repeated rows, empty tables and columns of any other name; what they make of them is
+said below and in the operators. A stage never changes a row, only how often it stands in the result.
 """
 
 from __future__ import annotations
@@ -13,27 +16,37 @@ from rankmill.llm.common import checkpoint_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that no learned language codes better than raw bytes, go."""
+    """Documents without a letter, or that no learned language codes better than raw bytes, go.
+
+    So do null and blank texts. Rows with null ids are judged like others; repeated rows stay or go together.
+    """
     return language_id.accepted(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.
+
+    Examples are labelled documents that the stage before kept. Null ids are judged and not learnt from; equal texts go together.
+    """
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id.
+
+    Of rows that share that id, the smallest fingerprint stays; rows with null ids stay only in groups without an id, one of each
+    fingerprint.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, 0 to 3 times; ties are broken by id and size, and null sources are one source."""
     return mixing.sampled(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, piece_ids, nbest_scores, nbest_edits, round_trip."""
+    """doc_id, n_pieces, piece_ids, nbest_scores, nbest_edits, round_trip of every row; null texts would count as empty."""
     return sentencepiece.sentencepiece_nbest(docs)
 
 
