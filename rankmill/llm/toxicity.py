@@ -6,8 +6,8 @@ the sample, with document frequencies of the corpus. The words and beginnings mo
 by one, TERMS at most) weigh TELLING times as much; no word of an example is left out. Examples are indexed by term in blocks of BLOCK consecutive examples:
 postings of the rarer terms, and for common ones dense rows with the largest weight in the block. A query visits blocks by
 falling upper bound (its rare terms' best sum in the block, and the sum of query weight times block maximum over its common
-terms) and stops once its K-th best cosine is no less than the next bound, so the K nearest are exact. Votes weigh cosine times how many labelled rows an example stands for; the vote share is
-mapped to a probability by pool-adjacent-violators over leave-one-out shares of the sample.
+terms); those whose bound is below the K-th best cosine found by then are left out, so the K nearest are exact. Votes weigh cosine
+times how many labelled rows an example stands for; the vote share is mapped to a probability by pool-adjacent-violators over leave-one-out shares of the sample.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ VOTERS_SHARE = 8
 TELLING = 4.0
 #: A term of more than one in so many examples is kept in dense blocks.
 COMMON = 4
+#: Blocks that are visited before the k-th best is a floor for the others.
+FIRST = 8
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,35 +72,41 @@ class ToxicityModel:
     where: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     blank: float = 0.0
     voters: int = K
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    beginnings: dict[str, dict[str, int]] = field(default_factory=dict)
+    beginnings: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for term, place in self.vocabulary.items():
-            if term.endswith("*"):
-                self.beginnings.setdefault(term[: PREFIXES.start], {})[term[:-1]] = place
+        self.beginnings = {term[:-1]: place for term, place in self.vocabulary.items() if term.endswith("*")}
+
+    def _begun(self, text: str, words: Iterable[str]) -> list[tuple[int, str]]:
+        """(place, word) of the telling beginnings of words of a lower-case text."""
+        here = [head for head in self.beginnings if head in text]
+        return [(self.beginnings[head], w) for w in words for head in here if w.startswith(head)] if here else []
+
+    def places(self, text: str) -> np.ndarray:
+        """Places in the vocabulary of a whole text's terms, in no order, each once."""
+        text = text.lower()
+        words = set(WORD.findall(text))
+        keys = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        keys = keys[keys >= 0]
+        begun = self._begun(text, words)
+        return np.union1d(keys, [k for k, _ in begun]).astype(np.int64) if begun else keys
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places in the vocabulary of a whole text's terms, and how often each stands there."""
-        ids: list[int] = []
-        times: list[int] = []
-        place, beginnings = self.vocabulary.get, self.beginnings
-        marked = False
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            if (k := place(word)) is not None:
-                ids.append(k)
-                times.append(n)
-            if (heads := beginnings.get(word[: PREFIXES.start])) is not None:
-                own = [k for head, k in heads.items() if word.startswith(head)]
-                ids += own
-                times += [n] * len(own)
-                marked = True
-        keys, often = np.array(ids, dtype=np.int64), np.array(times, dtype=np.float64)
-        if marked:  # several words may share a beginning
+        text = text.lower()
+        words = Counter(WORD.findall(text))
+        keys = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        often = np.fromiter(words.values(), np.float64, len(words))[keys >= 0]
+        keys = keys[keys >= 0]
+        begun = self._begun(text, words)
+        if begun:  # several words may share a beginning
+            keys = np.concatenate((keys, [k for k, _ in begun]))
+            often = np.concatenate((often, [words[w] for _, w in begun]))
             keys, at = np.unique(keys, return_inverse=True)
             often = np.bincount(at, often, len(keys))
         return keys, often
@@ -122,17 +131,21 @@ class ToxicityModel:
         often = np.bincount(keys, minlength=size) > max(BLOCK // 4, n / COMMON)
         self.common = np.where(often, np.cumsum(often) - 1, -1)
         blocks = -(-n // BLOCK)
-        self.dense = np.zeros((blocks, int(often.sum()), BLOCK))
         full = often[keys]
-        self.dense[where[full] // BLOCK, self.common[keys[full]], where[full] % BLOCK] = value[full]
-        self.block_max = self.dense.max(2).T.copy() if self.dense.size else np.zeros((int(often.sum()), blocks))
+        self.dense = np.zeros((int(often.sum()), blocks * BLOCK))
+        self.dense[self.common[keys[full]], where[full]] = value[full]
+        self.block_max = self.dense.reshape(-1, blocks, BLOCK).max(2) if self.dense.size else np.zeros((int(often.sum()), blocks))
         keys, value, where = keys[~full], value[~full], where[~full]
         order = np.argsort(keys, kind="stable")
         self.where, self.value = where[order], value[order]
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=size))))
 
     def nearest(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by example; exact."""
+        """(examples, cosines) of the k nearest with a cosine above 0, nearest first, ties by example; exact.
+
+        The FIRST blocks by upper bound are visited at once; their k-th best is a floor, and of the others only those whose bound
+        reaches it are.
+        """
         if isinstance(vector, dict):
             vector = np.fromiter(vector, np.int64), np.fromiter(vector.values(), float)
         keys, q = vector
@@ -140,29 +153,44 @@ class ToxicityModel:
             return np.zeros(0, int), np.zeros(0)
         low, n = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        blocks = len(self.dense)
-        score = np.bincount(self.where[at], self.value[at] * np.repeat(q, n), blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+        blocks = self.block_max.shape[1]
+        score = np.bincount(self.where[at], self.value[at] * np.repeat(q, n), blocks * BLOCK).astype(float, copy=False).reshape(blocks, BLOCK)
         row = self.common[keys]
-        wide = np.zeros(len(self.block_max))
-        wide[row[row >= 0]] = q[row >= 0]
-        bound = score.max(1) + wide @ self.block_max
+        used, wide = row[row >= 0], q[row >= 0]
+        if not len(used):  # no common term: the sums are whole
+            return self._best(score, np.arange(blocks), 0.0, k, skip)
+        bound = score.max(1) + wide @ self.block_max[used]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        top_s, top_e = np.zeros(0), np.zeros(0, int)
-        done, step = 0, 8
-        while done < len(order):
-            if len(top_s) >= k and top_s[k - 1] >= bound[order[done]] + 1e-12:
-                break
-            visited = order[done : done + step]
-            score[visited] += wide @ self.dense[visited]
-            s = np.round(score[visited].ravel(), 12)
-            e = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            fine = (s > 0) & (e != skip)
-            top_s, top_e = np.concatenate((top_s, s[fine])), np.concatenate((top_e, e[fine]))
-            best = np.lexsort((top_e, -top_s))[:k]
-            top_s, top_e = top_s[best], top_e[best]
-            done, step = done + step, step * 2
-        return top_e, top_s
+        dense = self.dense.reshape(-1, blocks, BLOCK)
+        first = order[:FIRST]
+        score[first] += np.tensordot(wide, dense[used[:, None], first], 1)
+        found, cosine = self._best(score, first, 0.0, k, skip)
+        floor = cosine[k - 1] - 1e-9 if len(cosine) >= k else 0.0
+        rest = order[FIRST:][bound[order[FIRST:]] >= floor]
+        if not len(rest):
+            return found, cosine
+        if len(rest) > blocks // 4:  # cheaper without picking them out
+            whole = np.zeros(len(self.dense))
+            whole[used] = wide
+            score[rest] += (whole @ self.dense).reshape(blocks, BLOCK)[rest]
+        else:
+            score[rest] += np.tensordot(wide, dense[used[:, None], rest], 1)
+        return self._best(score, np.concatenate((first, rest)), floor, k, skip)
+
+    @staticmethod
+    def _best(score: np.ndarray, visited: np.ndarray, floor: float, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the visited blocks' examples, of those of the floor at least and above 0; rounded, so that ties are ties."""
+        s = score[visited]
+        at = np.nonzero(s >= max(floor, 1e-12))
+        s, e = np.round(s[at], 12), visited[at[0]] * BLOCK + at[1]
+        if skip >= 0:
+            s, e = s[e != skip], e[e != skip]
+        if len(s) > 4 * k:
+            own = s >= np.partition(s, len(s) - k)[len(s) - k]
+            s, e = s[own], e[own]
+        best = np.lexsort((e, -s))[:k]
+        return e[best], s[best]
 
     def share(self, vector: dict[int, float] | tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray]:
         """Weighted share of label 1 among the nearest, and those examples."""
@@ -258,7 +286,7 @@ def train(
         counter = ToxicityModel({}, vocabulary, np.zeros(0), labels, weights, [])
         held = np.zeros(len(vocabulary))
         for _, _, text in sample:
-            held[counter.counts(text)[0]] += 1
+            held[counter.places(text)] += 1
         corpus = len(sample), held
     idf = np.log((1 + corpus[0]) / (1 + corpus[1])) + 1
     terms = {t: vocabulary[t] for t in telling}
@@ -312,7 +340,7 @@ def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str)
             held[size] += batch.num_rows
             for text in batch.column(0):
                 if (t := text.as_py()) is not None:
-                    held[model.counts(t)[0]] += 1
+                    held[model.places(t)] += 1
         found = np.flatnonzero(held)
         _forget(shared)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["term", "n"])
