@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.distance import MAX_EDITS, deletions, osa
 from ..functions.text import analyze, canonical_code, fold, fold_text, is_code_shaped
+from .lineage import kept
 
 MAX_QUERY_LENGTH = 512
 MIN_TYPO_LENGTH = 4
@@ -122,6 +123,7 @@ def corrections_of(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = tokens.select("query_id", F.explode(F.array_distinct(F.transform(F.filter("toks", lambda t: t["kind"] == "word"), lambda t: t["word"]))).alias("word"))
     words = words.where(F.length("word") >= MIN_TYPO_LENGTH).join(vocabulary, "word", "left_anti")
     best = closest_words(words.select("word"), vocabulary).where("ties = 1").select("word", F.struct(F.col("closest").alias("to"), "distance").alias("fix"))
+    best = kept(best)  # counted, then joined
     few = best.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     found = words.join(F.broadcast(best) if few else best, "word", "left")
     entry = F.when(F.col("fix").isNotNull(), F.struct("word", "fix"))

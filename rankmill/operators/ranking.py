@@ -28,6 +28,11 @@ def fuse(ranked: DataFrame, weights: dict[str, float] | None = None, k: int = RR
     return summed.withColumn("rrf_rank", F.row_number().over(order)).where(F.col("rrf_rank") <= top_k)
 
 
+def capped(fused: DataFrame, n: int = CANDIDATES) -> DataFrame:
+    """The first n fused hits of each query: the candidates of a reranker."""
+    return fused.where(F.col("rrf_rank") <= n)
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's words that the text has, less for long texts, between 0 and 1."""
     wanted = F.filter(F.array_distinct(F.split(F.lower(query), r"\s+")), lambda t: t != "")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import PySparkException
 
+from ..errors import SearchError
 from . import evaluation, ranking
 from .lineage import kept
 
@@ -30,12 +32,17 @@ def _tried(candidates: DataFrame, reranker: Reranker) -> DataFrame:
 
 
 def chain(candidates: DataFrame, rerankers: dict[str, Reranker]) -> tuple[DataFrame, str, list[str]]:
-    """(result of the first reranker that works, its name, errors of those before); the fused order if none does."""
+    """(result of the first reranker that works, its name, errors of those before); the fused order if none does.
+
+    A plan that cannot be analyzed is the caller's mistake and raised.
+    """
     errors = []
     for name, reranker in rerankers.items():
         try:
             return _tried(candidates, reranker), name, errors
-        except (PySparkException, RuntimeError, ValueError) as error:
+        except AnalysisException:
+            raise  # the plan is wrong, not the model
+        except (PySparkException, Py4JJavaError, SearchError, RuntimeError, ValueError) as error:
             errors.append(f"{name}: {type(error).__name__}")
     return fused_order(candidates), "rrf", errors
 

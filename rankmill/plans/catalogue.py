@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import lexicon as L
-from ..operators import documents, evaluation, lexical, maintenance, normalizer, ranking, vector
-from ..operators.lineage import kept
+from .. import config, engine
+from ..operators import documents, evaluation, lexical, maintenance, models, normalizer, ranking, vector
+from ..operators.lineage import kept, shared_folder
+from ..sources import logs, synthetic
 from ..sources import products as S
-from ..sources import synthetic
 from ..streaming import events as E
 from . import pipeline
 
@@ -73,7 +74,7 @@ fe AS (SELECT product_id, 't:' || ltrim(x, '~') AS feature, 1 + ln(sum(CASE WHEN
 fx AS (SELECT product_id, feature, weight, (('0x' || substr(sha1(feature), 1, 4))::BIGINT % """ + str(DIM) + """)::INT AS idx,
   CASE WHEN ('0x' || substr(sha1(feature), 6, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM fe)"""
 VEC = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
-s AS (SELECT a.id AS query_id, b.id AS id, round({}, 9) AS score, a.label AS la, b.label AS lb FROM v a JOIN v b ON a.id < 10),
+s AS (SELECT a.id AS query_id, b.id AS id, round({}, 9) AS score, a.label AS la, b.label AS lb FROM v a JOIN v b ON a.id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 COSINE = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e))"
 
@@ -234,13 +235,10 @@ def l2_normalize(spark, sf_dir):
     return e.select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("k", "x")).withColumn("x", F.round("x", 6))
 
 
-#: The queries of the _whole searches: every vector whose id is divisible by 50, against all vectors.
-WHOLE = "id % 50 = 0"
-
-
-def _nearest(spark, sf_dir, metric, asked="id < 10"):
+def _nearest(spark, sf_dir, metric):
+    """Every vector whose id is divisible by 50 against all vectors."""
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector.top_k(e.where(asked).withColumnRenamed("id", "query_id"), e, 50, metric)
+    return vector.top_k(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 50, metric)
 
 
 @query(f"WITH {VEC.format(COSINE)} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 50")
@@ -272,62 +270,97 @@ def hash_embedding(spark, sf_dir):
     return x.withColumn("x", F.round("x", 6))
 
 
-HITS = SCORE + """, hits AS (SELECT query_id, 'bm25' AS source, product_id, score, rank FROM rk WHERE rank <= 50 AND score > 1e-9
-  UNION ALL SELECT query_id, 'vector', product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) FROM (
-    SELECT query_id, product_id, bm25f AS score FROM (SELECT query_id, product_id, round(bm25f, 9) AS bm25f, row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS n FROM lex) WHERE n % 3 = 0 AND n <= 90)),
+#: Hashed vectors of the search documents and of the query texts, their cosines, and both lists fused. {0}, {1}: weights of the lists.
+HITS = SCORE + """, src AS (SELECT product_id AS id, lower(replace(concat_ws(' | ', code, name, 'couleur ' || color, 'diamètre ' || diameter, brand, category), 'è', 'e')) AS t FROM p
+  UNION ALL SELECT query_id::VARCHAR, text FROM q),
+w0 AS (SELECT id, regexp_extract_all(t, '[0-9]+|[a-z][a-z0-9]*') AS w FROM src),
+w1 AS (SELECT id, flatten(list_transform(w, lambda x: CASE WHEN length(x) >= 4 AND regexp_matches(x, '^[a-z].*[sx]$') THEN [x, '~' || substr(x, 1, length(x) - 1)] ELSE [x] END)) AS terms FROM w0),
+f1 AS (SELECT id, 't:' || ltrim(x, '~') AS feature, 1 + ln(sum(CASE WHEN starts_with(x, '~') THEN 0.5 ELSE 1.0 END)) AS weight FROM (SELECT id, unnest(terms) AS x FROM w1) GROUP BY ALL
+  UNION ALL SELECT id, 'g:' || g, count(*) * 0.3 FROM (SELECT id, substr(s, i::BIGINT, 3) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i
+    FROM (SELECT id, '^' || replace(array_to_string(terms, ' '), '~', '') || '$' AS s FROM w1))) GROUP BY ALL),
+vx AS (SELECT id, ('0x' || substr(sha1(feature), 1, 4))::BIGINT % 384 AS idx, sum(weight * CASE WHEN ('0x' || substr(sha1(feature), 6, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM f1 GROUP BY ALL),
+vn AS (SELECT id, sqrt(sum(v * v)) AS n FROM vx GROUP BY id),
+cs AS (SELECT a.id::INT AS query_id, b.id AS product_id, round(sum(a.v * b.v) / any_value(an.n * bn.n), 9) AS score FROM vx a JOIN vx b ON a.idx = b.idx AND length(a.id) < 3 AND length(b.id) >= 3
+  JOIN vn an ON an.id = a.id JOIN vn bn ON bn.id = b.id GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM cs),
+hits AS (SELECT query_id, 'bm25' AS source, product_id, score, rank FROM rk WHERE rank <= 50 AND score > 1e-9 UNION ALL SELECT query_id, 'vector', product_id, score, rank FROM near WHERE rank <= 50 AND score >= 0.15),
 fu AS (SELECT query_id, product_id, round(sum((CASE source WHEN 'bm25' THEN {0} ELSE {1} END) / (60 + rank)), 12) AS rrf_score, max(CASE WHEN source = 'bm25' THEN rank END)::INT AS bm25_rank,
-  max(CASE WHEN source = 'vector' THEN rank END)::INT AS vector_rank FROM hits GROUP BY ALL),
-fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, product_id)::INT AS rrf_rank FROM fu)
-SELECT query_id, product_id, round(rrf_score, 9) AS rrf_score, rrf_rank, bm25_rank, vector_rank FROM fr WHERE rrf_rank <= 50"""
+  max(CASE WHEN source = 'vector' THEN rank END)::INT AS vector_rank, max(CASE WHEN source = 'bm25' THEN score END) AS bm25_score, max(CASE WHEN source = 'vector' THEN score END) AS vector_score FROM hits GROUP BY ALL),
+fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, product_id)::INT AS rrf_rank FROM fu) WHERE rrf_rank <= 50)"""
+FUSED = " SELECT query_id, product_id, round(rrf_score, 9) AS rrf_score, rrf_rank, bm25_rank, vector_rank FROM fr"
 
 
 def _fused(spark, sf_dir, weights=None):
-    """Lexical hits fused with a second list made from every third of the first 90 scored products, which SQL can make too."""
-    from pyspark.sql import Window
-
-    index = lexical.build_index(_docs(spark, sf_dir))
-    lex = lexical.search(_texts(spark), index).select("query_id", F.lit("bm25").alias("source"), "product_id", "score")
-    second = lexical.score_terms(lexical.query_terms(_texts(spark)), index)
-    second = second.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id"))).where("n % 3 = 0 and n <= 90")
-    second = second.select("query_id", F.lit("vector").alias("source"), "product_id", F.round("bm25f", 9).alias("score"))
-    f = ranking.fuse(ranking.rank_hits(lex.unionByName(second)), weights)
+    f = pipeline.candidates(_texts(spark), _part(spark, sf_dir), weights=weights)
     return f.select("query_id", "product_id", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank", "bm25_rank", "vector_rank")
 
 
-@query("WITH " + HITS.format("1.0", "1.0"))
+@query("WITH " + HITS.format("1.0", "1.0") + FUSED)
 def rrf_fusion(spark, sf_dir):
+    """Lexical hits fused with the neighbours of hashed vectors, over all products."""
     return _fused(spark, sf_dir)
 
 
-@query("WITH " + HITS.format("2.0", "0.5"))
+@query("WITH " + HITS.format("2.0", "0.5") + FUSED)
 def weighted_rrf(spark, sf_dir):
     return _fused(spark, sf_dir, {"bm25": 2.0, "vector": 0.5})
 
 
-def _fused_vectors(spark, sf_dir, weights=None):
-    f = pipeline.candidates(_texts(spark), _part(spark, sf_dir), weights=weights)
-    return f.select("query_id", "product_id", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank", "bm25_rank", "vector_rank")
+#: The fused hits with their overlap scores.
+SCORED = HITS.format("1.0", "1.0") + """, sc AS (SELECT fr.*, round(greatest(0, least(1, len(list_intersect(list_distinct(string_split(q.text, ' ')), x.w)) / len(list_distinct(string_split(q.text, ' ')))::DOUBLE
+    * 0.85 / (1 + len(x.w) * 0.02) + 0.05)), 9) AS rerank_score
+  FROM fr JOIN q USING (query_id) JOIN (SELECT product_id, list_filter(regexp_split_to_array(lower(concat_ws(' | ', code, name, 'couleur ' || color, 'diamètre ' || diameter, brand, category)), '[^a-zà-ÿ0-9]+'),
+    lambda x: x <> '') AS w FROM p) x USING (product_id))"""
+SHOWN = """ SELECT query_id, product_id, final_rank::INT AS final_rank, round(final_score, 6) AS final_score, round(rrf_score, 6) AS rrf_score, rrf_rank, bm25_rank, round(bm25_score, 6) AS bm25_score,
+  vector_rank, round(vector_score, 6) AS vector_score, round(rerank_score, 6) AS rerank_score FROM fin WHERE final_rank <= """
 
 
-@query()
-def rrf_fusion_vectors(spark, sf_dir):
-    """Lexical hits fused with the neighbours of hashed vectors, over all products."""
-    return _fused_vectors(spark, sf_dir)
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("final_score", "rrf_score", "bm25_score", "vector_score", "rerank_score")})
 
 
-@query()
-def weighted_rrf_vectors(spark, sf_dir):
-    return _fused_vectors(spark, sf_dir, {"bm25": 2.0, "vector": 0.5})
-
-
-@query()
+@query("WITH " + SCORED + """, fin AS (SELECT *, rerank_score AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_score DESC, product_id) AS final_rank FROM sc)""" + SHOWN + "10")
 def hybrid_search(spark, sf_dir):
-    return pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir))
+    return _rounded(pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir)))
 
 
-@query()
+@query("WITH " + SCORED + """, mm AS (SELECT *, """ + ", ".join(
+    f"CASE WHEN max(coalesce({c}, 0)) OVER w > min(coalesce({c}, 0)) OVER w THEN (coalesce({c}, 0) - min(coalesce({c}, 0)) OVER w) / (max(coalesce({c}, 0)) OVER w - min(coalesce({c}, 0)) OVER w) ELSE 0 END AS m_{c}"
+    for c in ("bm25_score", "vector_score", "rrf_score", "rerank_score")) + """ FROM sc WINDOW w AS (PARTITION BY query_id)),
+  fs AS (SELECT *, round(0.2 * m_bm25_score + 0.2 * m_vector_score + 0.2 * m_rrf_score + 0.4 * m_rerank_score, 9) AS final_score FROM mm),
+  fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, product_id) AS final_rank FROM fs)""" + SHOWN + "20")
 def hybrid_search_weighted(spark, sf_dir):
-    return pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir), "weighted", 20)
+    return _rounded(pipeline.hybrid_search(_texts(spark), _part(spark, sf_dir), "weighted", 20))
+
+
+@query(ORACLES["bm25f_topk"])
+def index_upsert(spark, sf_dir):
+    """Search over a stored index that a rebuild, an upsert and a delete have brought to the state of part."""
+    p = _part(spark, sf_dir)
+    n = F.substring("product_id", 2, 20).cast("int")
+    early = p.where(n % 3 != 0).withColumn("name", F.when(n % 5 == 0, F.concat(F.lit("old "), "name")).otherwise(F.col("name")))
+    extra = p.where(n % 7 == 0).withColumn("product_id", F.concat(F.lit("X"), "product_id"))
+    stored = maintenance.Catalog(spark, shared_folder(spark, "catalog"), DIM, buckets=4)
+    stored.rebuild(early.unionByName(extra))
+    stored.upsert(p.where((n % 3 == 0) | (n % 5 == 0)))
+    stored.delete(extra.select("product_id"))
+    hits = lexical.search(_texts(spark), stored.index())
+    return hits.select("query_id", "product_id", "rank", F.round("score", 6).alias("score"), "exact", "prefix")
+
+
+@query(f"WITH {SCORE} SELECT query_id::VARCHAR AS query_id, product_id, rank::INT AS final_rank, round(1.0 / (60 + rank), 6) AS final_score FROM rk WHERE rank <= 10 AND score > 1e-9")
+def degraded_hybrid(spark, sf_dir):
+    """The engine with a vector retriever that fails: lexical hits alone, in fused order."""
+
+    def down(queries):
+        raise RuntimeError("the vector index is down")
+
+    root = shared_folder(spark, "catalog")
+    maintenance.Catalog(spark, root, DIM, buckets=4).rebuild(_part(spark, sf_dir))
+    quiet = {"embedding": {"dimensions": DIM}, "normalization": {"provider": "none"}, "logging": {"enabled": False}, "documents": {"preload": False}}
+    texts = spark.createDataFrame(TEXTS, "query_id int, text string").withColumn("query_id", F.col("query_id").cast("string"))
+    found, _ = engine.build_engine(spark, root, config.load(overrides=quiet), vector_search=down).search(texts)
+    return found.select("query_id", "product_id", "final_rank", "final_score")
 
 
 OVERLAP = DOC + """, q AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in TEXTS) + """) AS v(query_id, text)),
@@ -361,11 +394,11 @@ def weighted_policy(spark, sf_dir):
     return ranking.limit(ranking.weighted(s)).select("query_id", "product_id", F.round("final_score", 6).alias("final_score"), "final_rank")
 
 
-def _evaluated(spark, sf_dir, asked="id < 10"):
+def _evaluated(spark, sf_dir):
     """Cosine neighbours as results; vectors of the query's label are relevant, those with an even id more so."""
-    near = _nearest(spark, sf_dir, "cosine", asked).withColumnRenamed("id", "product_id")
+    near = _nearest(spark, sf_dir, "cosine").withColumnRenamed("id", "product_id")
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.select(F.col("vec_id").alias("id"), "label").where(asked).withColumnRenamed("id", "query_id")
+    q = e.select(F.col("vec_id").alias("id"), "label").where("id % 50 = 0").withColumnRenamed("id", "query_id")
     gold = e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("product_id"), F.when(F.col("vec_id") % 2 == 0, 3.0).otherwise(1.0).alias("label"))
     return near, gold
 
@@ -399,27 +432,6 @@ def candidate_coverage(spark, sf_dir):
     return evaluation.coverage(*_evaluated(spark, sf_dir))
 
 
-def _whole(name, f, oracle):
-    """Registers f as name_whole: the search of the query name, asked for by WHOLE."""
-    f.__name__ = f"{name}_whole"
-    return query(oracle.replace("a.id < 10", f"a.{WHOLE}"))(f)
-
-
-def _whole_searches():
-    found = {"cosine_topk": "cosine", "inner_product_topk": "inner_product"}
-    for name, metric in found.items():
-        _whole(name, lambda spark, sf_dir, metric=metric: _nearest(spark, sf_dir, metric, WHOLE).withColumn("score", F.round("score", 6)), ORACLES[name])
-    _whole("min_score_filter", lambda spark, sf_dir: _nearest(spark, sf_dir, "cosine", WHOLE).where("score >= 0.15").select("query_id", "id", "rank"), ORACLES["min_score_filter"])
-    for m in ("recall", "mrr", "ndcg"):
-        _whole(f"{m}_at_k", lambda spark, sf_dir, m=m: evaluation.per_query(*_evaluated(spark, sf_dir, WHOLE)).select("query_id", F.round(m, 6).alias(m)), ORACLES[f"{m}_at_k"])
-    ks = ("recall_at_10", "mrr_at_10", "ndcg_at_10")
-    _whole("metric_summary", lambda spark, sf_dir: evaluation.summary(*_evaluated(spark, sf_dir, WHOLE), ks=(10,)).select(*[F.round(c, 6).alias(c) for c in ks], "queries"), ORACLES["metric_summary"])
-    _whole("candidate_coverage", lambda spark, sf_dir: evaluation.coverage(*_evaluated(spark, sf_dir, WHOLE)), ORACLES["candidate_coverage"])
-
-
-_whole_searches()
-
-
 RULES = [(q, rule, label) for q, name, mm in (("red widget 28", "red widget", 28), ("small ring 11", "small ring", 11), ("hot gear 37", "hot gear", 37))
          for rule, label in ((f"name = '{name}' and attributes['diameter'] = '{mm} mm'", 4), (f"name = '{name}'", 2))]
 
@@ -451,10 +463,22 @@ def embedding_reuse(spark, sf_dir):
     return maintenance.embedding_plan(d, stored, "m1").select("product_id", "reuse")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
+@query("SELECT 'P' || lpad(vec_id::VARCHAR, 6, '0') AS product_id FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) AND label % 2 = 0")
 def orphan_semi_join(spark, sf_dir):
-    part = _table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("vec_id"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id").join(part, "vec_id", "left_semi")
+    """Vectors of one model whose document is there: the others' documents or models are not."""
+    stored = _table(spark, sf_dir, "embeddings").select(F.format_string("P%06d", "vec_id").alias("product_id"), F.when(F.col("label") % 2 == 0, "m1").otherwise("m2").alias("model_version"))
+    docs = _part(spark, sf_dir).where(F.substring("product_id", 2, 20).cast("int") % 2 == 0)
+    return maintenance.live(stored, docs, "m1").select("product_id")
+
+
+@query(f"""WITH {OVERLAP}, b AS (SELECT query_id, product_id, CASE WHEN substr(product_id, 2)::INT % 3 = 0 THEN 0 ELSE least(1.0, substr(product_id, 2)::INT % 50 / 40.0) END AS s FROM o)
+  SELECT * FROM (SELECT query_id, product_id, round(s, 6)::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, product_id)::INT AS final_rank FROM b) WHERE final_rank <= 20""")
+def rerank_missing_zero(spark, sf_dir):
+    """A model's scores for two candidates of three: the third keeps its place with 0, and scores above 1 are 1."""
+    c = _overlap(spark, sf_dir).select("query_id", "product_id").withColumn("rrf_score", F.lit(0.0))
+    n = F.substring("product_id", 2, 20).cast("int")
+    scored = models.with_scores(c, c.where(n % 3 != 0).select("query_id", "product_id", (n % 50 / 40.0).alias("score")))
+    return ranking.limit(ranking.reranker_first(scored), 20).select("query_id", "product_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
 @query(f"WITH {P} SELECT 'P' || lpad((p_partkey * 2)::VARCHAR, 6, '0') AS product_id, p.name FROM part JOIN p ON p.product_id = 'P' || lpad((p_partkey * 2)::VARCHAR, 6, '0')")
@@ -477,15 +501,34 @@ def latency_summary(spark, sf_dir):
     return s.withColumns({"mean": F.round("mean", 6), "qps": F.round("qps", 6)})
 
 
-@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY event_type")
-def log_percentiles(spark, sf_dir):
+def _search_log(spark, sf_dir):
+    """The events as a search log: what was done, by whom, as the query."""
     e = _table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("p90"))
+    return e.select(F.col("event_id").cast("string").alias("search_id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string")).alias("query"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("created_at"), "event_type")
+
+
+def _since(rows, days):
+    return rows.agg(F.max("created_at").alias("m")).select(F.col("m") - F.expr(f"INTERVAL {days} DAYS")).scalar()
 
 
-@query("SELECT p_name AS query, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 25")
+@query("SELECT event_type, count(*) AS searches, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM events WHERE ts > (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY event_type")
+def log_percentiles(spark, sf_dir):
+    """Searches and latency by kind over the log's last week."""
+    rows = _search_log(spark, sf_dir)
+    return logs.health(rows, _since(rows, 7), ["event_type"])
+
+
+@query("SELECT event_type || ' ' || (user_id % 40) AS query, count(*) AS searches FROM events WHERE ts > (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY ALL ORDER BY searches DESC, query LIMIT 25")
 def top_queries(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(25)
+    rows = _search_log(spark, sf_dir)
+    return logs.top_queries(rows, _since(rows, 7))
+
+
+@query("SELECT run, arg_min(stage, (-mean, stage)) AS bottleneck, round(max(mean), 6) AS mean_ms FROM (SELECT user_id % 50 AS run, event_type AS stage, avg(value) AS mean FROM events GROUP BY ALL) GROUP BY run")
+def stage_bottleneck(spark, sf_dir):
+    """The slowest stage of each run, on average: events as stages, their users as runs."""
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    return evaluation.bottleneck(e).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL")
@@ -534,11 +577,11 @@ def closest_words(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, (unnest(range(len(w))))::INT AS k, unnest(w) AS token FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(
-    regexp_replace(substr(text, 1, 512), '([0-9])[,.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{L}\\p{N}\\x01-]+'),
+    regexp_replace(text, '([0-9])[,.]([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{L}\\p{N}\\x01-]+'),
   lambda t: trim(replace(t, chr(1), '.'), '-')), lambda t: t <> '') AS w FROM conversations)""")
 def presplit_tokens(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.posexplode(normalizer.presplit(normalizer.guard(F.col("text")))).alias("k", "token"))
+    return c.select("conv_id", "turn", F.posexplode(normalizer.presplit(F.col("text"))).alias("k", "token"))
 
 
 #: Query texts made from a part's size s and key k, one form for each remainder of k by six.

@@ -23,7 +23,7 @@ def normalized_queries(queries: DataFrame, products: DataFrame) -> DataFrame:
 
 def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS, min_score: float = vector.MIN_SCORE, weights: dict[str, float] | None = None) -> DataFrame:
     """Fused hits of plain or normalized queries(query_id, text, tokens, codes) over products."""
-    docs = documents.build(products)
+    docs = kept(documents.build(products).select("product_id", "fields", "search_document"))
     index = lexical.build_index(docs)
     lex = lexical.search(queries, index).select("query_id", F.lit("bm25").alias("source"), "product_id", "score")
     vectors = vector.hash_embed(docs.select(F.col("product_id").alias("id"), F.col("search_document").alias("text")), dim)
@@ -34,7 +34,7 @@ def candidates(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENS
 
 def reranker_input(queries: DataFrame, products: DataFrame, dim: int = vector.DIMENSIONS) -> DataFrame:
     """The fused candidates with their query's text and their document."""
-    found, _ = ranking.hydrate(candidates(queries, products, dim), documents.build(products).select("product_id", "search_document"))
+    found, _ = ranking.hydrate(ranking.capped(candidates(queries, products, dim)), documents.build(products).select("product_id", "search_document"))
     return found.join(queries.select("query_id", "text"), "query_id")
 
 

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.evaluation import nth
+
 SEARCH_LOG = "search_id string, query string, normalized_query string, result_product_ids array<string>, selected_product_id string, latency_ms int, created_at timestamp"
 EVENTS = "search_id string, event_type string, query string, product_id string, position int, payload string, created_at timestamp"
 EVALUATION = "id long, query string, relevant_product_ids array<string>, notes string, created_at timestamp"
@@ -65,3 +67,19 @@ def setting(spark: SparkSession, path: str, key: str):
     """The value put last, or None."""
     row = _read(spark, SETTINGS, path).where(F.col("key") == key).agg(F.max_by("value", "at").alias("v")).first()
     return None if row is None or row.v is None else json.loads(row.v)
+
+
+def health(rows: DataFrame, since: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """Searches, p50 and p90 of their latency (discrete percentiles), of logged searches after a time; by other columns, or over all."""
+    recent = rows if since is None else rows.where(F.col("created_at") > since)
+    keys = by or ["__all"]
+    recent = recent if by else recent.withColumn("__all", F.lit(0))
+    counts = recent.groupBy(*keys).agg(F.count("*").alias("searches"))
+    places = nth(recent, "latency_ms", keys, {"p50": 0.5, "p90": 0.9}, discrete=True)
+    return counts.join(places, keys, "left").drop("__all")
+
+
+def top_queries(rows: DataFrame, since: Column | None = None, n: int = 25) -> DataFrame:
+    """(query, searches): the most frequent queries of logged searches after a time, ties by query."""
+    recent = rows if since is None else rows.where(F.col("created_at") > since)
+    return recent.groupBy("query").agg(F.count("*").alias("searches")).orderBy(F.desc("searches"), "query").limit(n)

@@ -86,8 +86,11 @@ def catalog(spark: SparkSession, size: int, seed: int = 42, prefix: str = "P") -
     rows = spark.range(size).withColumn("family", (F.col("id") % len(FAMILIES)).cast("int"))
     rows = rows.withColumn("at", F.floor(F.col("id") / len(FAMILIES)) * sum(takes) + first)
 
+    # Drawn once a row, as one array: written out at each use they made a stage too long to compile.
+    rows = rows.withColumn("draws", F.transform(F.sequence(F.lit(1), F.lit(max(takes))), lambda nth: draw(seed, F.col("at") + nth)))
+
     def pick(values: Column, nth: Column) -> Column:
-        return F.get(values, F.floor(draw(seed, F.col("at") + nth) * F.size(values)).cast("int"))
+        return F.get(values, F.floor(F.get("draws", nth - 1) * F.size(values)).cast("int"))
 
     def of(make) -> Column:
         """One value a family."""

@@ -1,8 +1,12 @@
 """Every catalogue query against its SQL oracle, and the plans and functions behind them."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
+from rankmill.errors import StoreError
 from rankmill.functions import text as T
 from rankmill.operators import documents, evaluation, lexical, maintenance, ranking, vector
 from rankmill.plans import catalogue, pipeline
@@ -34,10 +38,10 @@ def test_query_equals_its_oracle(spark, db, name):
     assert rounded(df.select(*cols).collect()) == rounded([[r[names.index(c)] for c in cols] for r in found.fetchall()])
 
 
-def test_whole_searches_ask_every_fiftieth_vector(spark):
+def test_vector_searches_ask_every_fiftieth_vector(spark):
     ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()]
     for name in ("cosine_topk", "inner_product_topk", "recall_at_k"):
-        rows = catalogue.QUERIES[f"{name}_whole"](spark, SF).select("query_id").distinct().collect()
+        rows = catalogue.QUERIES[name](spark, SF).select("query_id").distinct().collect()
         assert sorted(r.query_id for r in rows) == sorted(ids) and max(ids) > 10
 
 
@@ -92,7 +96,7 @@ def test_fusion_counts_a_product_once_per_source(spark):
     assert [r.product_id for r in f] == ["B", "A"] and f[0].rrf_score == pytest.approx(1 / 62 + 1 / 61)
 
 
-@pytest.mark.parametrize(("name", "weights"), [("rrf_fusion_vectors", (1.0, 1.0)), ("weighted_rrf_vectors", (2.0, 0.5))])
+@pytest.mark.parametrize(("name", "weights"), [("rrf_fusion", (1.0, 1.0)), ("weighted_rrf", (2.0, 0.5))])
 def test_fusion_of_lexical_and_vector_hits_against_brute_force(spark, name, weights):
     docs = documents.build(S.from_part(spark, SF))
     texts = catalogue._texts(spark)
@@ -121,15 +125,89 @@ def test_vector_edges(spark):
     assert abs(sum(x * x for x in vector.hash_embed(spark.createDataFrame([(1, "")], "id int, text string"), 16).first().vector) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("size", [1 << 9, 64 << 20])
+def test_vector_blocks_and_ties_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(vector, "QUERY_BYTES", size)
+    rng = np.random.default_rng(1)
+    rows = [(f"v{i:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(200)] + [("short", [1.0])]
+    q = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(30)]
+    got = vector.top_k(spark.createDataFrame(q, "query_id int, vector array<double>"), spark.createDataFrame(rows, "id string, vector array<double>").repartition(5), 7, "inner_product").collect()
+    for i, v in q:
+        want = sorted((-sum(a * b for a, b in zip(v, w)), n) for n, w in rows if len(w) == 4)[:7]
+        assert [(r.score, r.id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [(-s, n) for s, n in want]
+
+
+def test_approximate_search_recall(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(T.F.col("vec_id").alias("id"), T.F.col("embedding").alias("vector"))
+    q = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in vector.top_k(q, e, 10).collect()}
+    near = {(r.query_id, r.id) for r in vector.approximate_top_k(q, e, 10, tables=16, bits=5).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_many_query_terms_are_dealt_to_parts(spark, monkeypatch):
+    index = lexical.build_index(documents.build(S.from_part(spark, SF)))
+    texts = catalogue._texts(spark)
+    few = sorted(map(tuple, lexical.search(texts, index).collect()))
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, lexical.search(texts, index).collect())) == few
+
+
+def test_index_is_one_scan_and_postings_are_not_shuffled(spark):
+    index = lexical.build_index(documents.build(S.from_part(spark, SF)))
+    plan = lexical.matching(lexical.query_terms(catalogue._texts(spark)), index)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("groups", [0, 20_000])
+def test_percentiles_against_sorting(spark, monkeypatch, groups):
+    monkeypatch.setattr(evaluation, "GROUPS", groups)
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, values in {"a": rng.integers(0, 9, 700), "b": rng.normal(0, 1e6, 900), "c": [5], None: [3, 1, 2, 2], "d": [7] * 50 + [1e12]}.items() for v in values] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    for discrete in (False, True):
+        for r in evaluation.nth(df, "v", ["g"], shares, discrete).collect():
+            own = sorted(v for g, v in rows if g == r.g and v is not None)
+            for name, p in shares.items():
+                at = max(0, math.ceil(p * len(own)) - 1) if discrete else min(len(own) - 1, math.floor(p * len(own)))
+                assert r[name] == own[at]
+
+
 def test_snapshots(spark, tmp_path):
     row = lambda i, name: (f"P{i}", "", name, {}, None, None, None)
-    c = maintenance.Catalog(spark, str(tmp_path / "catalog"), 16)
+    c = maintenance.Catalog(spark, str(tmp_path / "catalog"), 16, buckets=4)
+    assert (c.version(), c.count(), c.index(), list(c.iterate())) == (0, 0, None, [])
     e = c.rebuild(spark.createDataFrame([row(i, "tube") for i in range(5)], PRODUCT))
     assert (e.version, e.upserted, e.embedded) == (1, 5, 5)
-    e = c.upsert(spark.createDataFrame([row(0, "tube"), row(1, "vanne"), row(9, "joint")], PRODUCT))
-    assert (e.version, e.embedded, e.reused) == (2, 2, 4) and c.documents().count() == 6
-    e = c.delete(spark.createDataFrame([("P0",), ("P77",)], "product_id string"))
+    e = c.upsert(spark.createDataFrame([row(0, "tube"), row(1, "vanne"), row(9, "joint"), row(9, "joint")], PRODUCT))
+    assert (e.version, e.upserted, e.embedded) == (2, 3, 2) and c.documents().count() == 6 and c.count_embeddings() == 6 and c.count_embeddings("other") == 0
+    assert [r.product_id for r in c.iterate()] == ["P0", "P1", "P2", "P3", "P4", "P9"]
+    ids = spark.createDataFrame([("P0",), ("P77",)], "product_id string")
+    assert [r.product_id for r in c.get(ids).collect()] == ["P0"]
+    e = c.delete(ids)
     assert (e.deleted, c.documents().count(), c.embeddings().count()) == (1, 5, 5)
+    assert {r.term: r.df for r in c.index().term_stats.collect()} == {"tube": 3, "vanne": 1, "joint": 1} and c.index().corpus.first().n == 5
+    e = c.delete_embeddings(spark.createDataFrame([("P9",)], "product_id string"))
+    assert (e.deleted, c.count(), c.embeddings().count()) == (1, 5, 4)
+    c.delete(c.documents().select("product_id"))
+    assert c.count() == 0 and c.index().term_stats.count() == 0 and c.index().postings.count() == 0
+    c.upsert(spark.createDataFrame([row(3, "coude")], PRODUCT))
+    assert c.count() == 1 and c.index().corpus.first().avg_1 == 1.0
+
+
+def test_two_writers_and_a_dead_one(spark, tmp_path):
+    row = ("P1", "", "tube", {}, None, None, None)
+    c = maintenance.Catalog(spark, str(tmp_path / "catalog"), 16, buckets=2)
+    c.rebuild(spark.createDataFrame([row], PRODUCT))
+    c._claim(2)
+    with pytest.raises(StoreError, match="another"):
+        c.upsert(spark.createDataFrame([row], PRODUCT))
+    assert c.version() == 1 and c.count() == 1
+    c.release()
+    assert c.upsert(spark.createDataFrame([row], PRODUCT)).version == 2
+    with pytest.raises(StoreError, match="dimensions"):
+        maintenance.Catalog(spark, str(tmp_path / "catalog"), 8, model_version="hashing-d16-v1")
 
 
 def test_hybrid_plan_has_no_nested_loop_over_documents(spark):
