@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,6 +17,8 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space, as the contracts of word-based operators define it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,12 @@ def unpack(packed: DataFrame, docs: DataFrame, added: Sequence[str] = ()) -> Dat
     return packed.select(*own, *added)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, where they are more: a batch holds whole texts, in the JVM and in Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_texts(
     docs: DataFrame, text_col: str, carry: list[str], compute: Callable[[list[bytes | None]], dict[str, Sequence]], fields: str, limit: int = 1 << 20,
     at_end: Callable[[], None] | None = None,
@@ -82,6 +91,7 @@ def map_texts(
     object. The columns in carry pass through as they are. at_end runs after a task's last row: Python workers outlive their
     tasks, and what one operator remembers is memory that the next one lacks.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).cast("string").alias("__text"))
     kinds = to_arrow_schema(StructType.fromDDL(fields))
 
@@ -101,13 +111,19 @@ def map_texts(
         if at_end is not None:
             at_end()
         pa.default_memory_pool().release_unused()
-        _trim()
+        trim()
 
     same = StructType([*kept.schema.fields[:-1], *StructType.fromDDL(fields).fields])
     return kept.mapInArrow(run, same)
 
 
-def _trim() -> None:
+def forget(shared: Broadcast) -> None:
+    """Drops a worker's copy of a broadcast value; a later task reads it again. Workers outlive the operator, and keep every value they read."""
+    if getattr(shared, "_path", None) is not None:
+        shared.__dict__.pop("_value", None)
+
+
+def trim() -> None:
     """Gives the C library's free memory back to the system, where the library can."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

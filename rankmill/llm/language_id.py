@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_texts, pack, unpack
+from .common import forget, id_remainder, map_texts, pack, unpack
 
 #: Longest context in bytes.
 ORDER = 3
@@ -255,7 +255,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", carry: li
             "bits_per_byte": [float(x) if ok else None for x, ok in zip(least, lettered, strict=True)],
         }
 
-    return map_texts(docs, text_col, carry, score, "lang_pred string, score double, bits_per_byte double")
+    return map_texts(docs, text_col, carry, score, "lang_pred string, score double, bits_per_byte double", at_end=lambda: forget(shared))
 
 
 def has_letter(text: bytes) -> bool:

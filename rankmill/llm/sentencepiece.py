@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import map_texts
 
 DEFAULT_MODEL = os.environ.get("RANKMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -41,7 +42,7 @@ N_BEST = 4
 #: Score of a character spelled in bytes: below every piece's.
 BYTES_SCORE = -100_000.0
 #: Parts a Python worker remembers, in each of two halves.
-REMEMBER = 120_000
+REMEMBER = 60_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
 #: Characters of a part from which its forward pass is held in arrays.
@@ -276,7 +277,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
         return out
 
     made = "n_pieces long, piece_ids array<int>, nbest_scores array<double>, nbest_edits array<array<struct<part: int, ids: array<int>>>>, round_trip boolean"
-    return map_texts(docs, text_col, carry, run, made, at_end=forget)
+    return map_texts(docs, text_col, carry, run, made, at_end=lambda: (forget(), common.forget(shared)))
 
 
 def sentencepiece_nbest(docs: DataFrame) -> DataFrame:

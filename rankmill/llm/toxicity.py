@@ -21,11 +21,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, id_remainder, map_texts, pack, unpack
+from .common import checkpoint_dir, forget, id_remainder, map_texts, pack, small_batches, trim, unpack
 
 #: The fit's documented bounds: labelled rows of each label and bytes of such a text.
 SAMPLE = {1: 1500, 0: 2500}
@@ -227,17 +226,21 @@ def tellers(sample: list[tuple[str, int, str]], totals: dict[int, int]) -> list[
     Each chosen term halves what the rows with it count for the next ones: words that only keep company with telling ones, or come
     from copies of one text, are left with too little.
     """
-    seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
     words = {y: [set(WORD.findall(text.lower())) for _, label, text in sample if label == y] for y in (0, 1)}
-    positive = [{t for w in row for t in terms_of(w)} for row in words[1]]
-    for row in positive:
-        seen[1].update(row)
     n1, n0 = max(1, len(words[1])) * 1.0, max(1, len(words[0])) * 1.0
     up1, up0 = totals.get(1, 0) / n1, totals.get(0, 0) / n0
     least = max(1, min(MIN_ROWS, int(n1) // ROWS_SHARE))
-    often = {t for t, a in seen[1].items() if a >= least}
+    often: set[str] = set()
+    seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for k in (0, *PREFIXES):  # one length at a time: all beginnings of all words at once would fill memory
+        own = Counter(t for row in words[1] for t in ({w[:k] + "*" for w in row if len(w) >= k} if k else row))
+        own = Counter({t: n for t, n in own.items() if n >= least})
+        often |= own.keys()
+        seen[1] += own
     for row in words[0]:
-        seen[0].update({t for w in row for t in terms_of(w)} & often)
+        seen[0].update({t for w in row for t in terms_of(w) if t in often})
+    positive = [{t for w in row for t in terms_of(w) if t in often} for row in words[1]]
+    del words
     rows_of: dict[str, list[int]] = {t: [] for t in often if seen[1][t] * up1 >= MIN_SHARE * (seen[1][t] * up1 + seen[0][t] * up0)}
     for i, row in enumerate(positive):
         for t in row & rows_of.keys():
@@ -330,6 +333,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
 
 def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> tuple[int, np.ndarray]:
     """How many rows docs has, and in how many of them each term stands. Tasks give one row for each term they met."""
+    small_batches(docs.sparkSession)
     size = len(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by SAMPLE and SAMPLE_TEXT_BYTES
 
@@ -342,7 +346,8 @@ def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str)
                 if (t := text.as_py()) is not None:
                     held[model.places(t)] += 1
         found = np.flatnonzero(held)
-        _forget(shared)
+        forget(shared)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["term", "n"])
 
     parts = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "term long, n long")
@@ -352,19 +357,15 @@ def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str)
     return int(held[size]), held[:size].astype(float)
 
 
-def _forget(shared: Broadcast) -> None:
-    """Drops a worker's copy of a broadcast value; a later task reads it again. Workers outlive the operator."""
-    if getattr(shared, "_path", None) is not None:
-        shared.__dict__.pop("_value", None)
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """The model of a sample of labelled rows, with document frequencies of all rows of docs."""
     sample, totals = training_sample(docs, labels, usable, id_col, text_col, label_col)
     if not sample:
         return train([], totals)
     telling = tellers(sorted(sample), totals)
-    return train(sample, totals, document_counts(docs, vocabulary_of(sample, telling), text_col), telling)
+    model = train(sample, totals, document_counts(docs, vocabulary_of(sample, telling), text_col), telling)
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -391,7 +392,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             evidence.append(known[key][1])
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence}
 
-    return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>", at_end=lambda: _forget(shared))
+    return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>", at_end=lambda: forget(shared))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
