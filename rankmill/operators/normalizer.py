@@ -272,9 +272,9 @@ def _respelled(t: Column) -> Column:
     return F.when(as_word, F.coalesce(F.try_element_at(F.col("fixes"), t["fold"])["to"], t["expansion"]))
 
 
-def tokenize(queries: DataFrame) -> DataFrame:
-    """The plain normalizer: (query_id, text, tokens, codes) with the distinct analyzed terms and no codes."""
-    text = guard(F.col("text"))
+def tokenize(queries: DataFrame, whole: bool = False) -> DataFrame:
+    """The plain normalizer: (query_id, text, tokens, codes) with the distinct analyzed terms and no codes; whole: texts of any length, without the guard."""
+    text = F.coalesce("text", F.lit("")) if whole else guard(F.col("text"))
     return queries.select("query_id", text.alias("text"), F.array_distinct(F.transform(analyze(text), lambda t: t["term"])).alias("tokens"), _none("string").alias("codes"))
 
 

@@ -218,6 +218,49 @@ def bm25f_topk(spark, sf_dir):
     return hits.select("query_id", "product_id", "rank", F.round("score", 6).alias("score"), "exact", "prefix")
 
 
+#: Terms of whole documents: po(doc_id, term, is_variant, pos). Tokens are folded numbers, dimensions, and words with their singular.
+PAGES = r"""pt AS (SELECT doc_id, regexp_extract_all(replace(replace(replace(replace(strip_accents(lower(regexp_replace(regexp_replace(coalesce(text, ''),
+    '([0-9]),([0-9])', '\1.\2', 'g'), '([0-9])\s*[xX×*/]\s*([0-9])', '\1x\2', 'g'))), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'),
+    '[0-9]+(?:\.[0-9]+)?(?:x[0-9]+(?:\.[0-9]+)?)*|[\p{L}\p{N}]+') AS w FROM documents),
+pk AS (SELECT doc_id, w, k, CASE WHEN regexp_matches(w, '^[0-9.]+$') THEN 'number' WHEN regexp_matches(w, '^[0-9.]+x[0-9.]+$') THEN 'dimension' ELSE 'word' END AS kind
+  FROM (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS k FROM pt)),
+pa AS (SELECT doc_id, w AS term, kind, false AS is_variant, 3 * k AS pos FROM pk
+  UNION ALL SELECT doc_id, substr(w, 1, length(w) - 1), kind, true, 3 * k + 1 FROM pk WHERE kind = 'word' AND length(w) >= 4 AND regexp_matches(w, '[sx]$')
+  UNION ALL SELECT doc_id, split_part(w, 'x', 1), 'number', false, 3 * k + 1 FROM pk WHERE kind = 'dimension'
+  UNION ALL SELECT doc_id, split_part(w, 'x', 2), 'number', false, 3 * k + 2 FROM pk WHERE kind = 'dimension'),
+po AS (SELECT * FROM pa WHERE kind <> 'word' OR term NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """)),
+pf AS (SELECT doc_id, term, count(*) FILTER (WHERE NOT is_variant) + arg_min(is_variant::INT, pos) AS tf FROM po GROUP BY ALL),
+pd AS (SELECT term, count(*) AS df FROM pf GROUP BY term)"""
+
+
+def _pages(spark, sf_dir):
+    """Whole documents as search documents: the text is the name, nothing else is filled."""
+    none = F.lit("")
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("product_id"), F.col("text").alias("name"), *[none.alias(c) for c in ("code", "brand", "category", "subcategory")])
+    return documents.build(d.withColumn("attributes", F.create_map().cast("map<string,string>")))
+
+
+@query(f"WITH {PAGES} SELECT term, df FROM pd WHERE df >= 2 AND length(term) >= 3 AND regexp_matches(term, '[a-z]') ORDER BY df DESC, term LIMIT 10000")
+def documents_vocabulary_topn(spark, sf_dir):
+    """The most frequent terms of whole documents; the limit is the feature."""
+    return lexical.vocabulary(lexical.build_index(_pages(spark, sf_dir)).term_stats)
+
+
+@query(f"""WITH {PAGES}, pl AS (SELECT doc_id, count(*) AS length FROM po GROUP BY ALL),
+qt AS (SELECT DISTINCT doc_id AS query_id, term AS w FROM pa WHERE doc_id % 50 = 0),
+qe AS (SELECT query_id, w AS term FROM qt UNION SELECT query_id, substr(w, 1, length(w) - 1) FROM qt WHERE length(w) >= 4 AND regexp_matches(w, '[sx]$')
+  UNION SELECT query_id, unnest(regexp_extract_all(w, '[a-z]+|[0-9]+')) FROM qt WHERE regexp_matches(w, '[a-z]') AND regexp_matches(w, '[0-9]')),
+ps AS (SELECT query_id, pf.doc_id, round(sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * (x * 2.2) / (x + 1.2)), 9) AS score
+  FROM (SELECT pf.doc_id, term, df, 2.0 * tf / (0.25 + 0.75 * length / (SELECT avg(length) FROM pl)) AS x FROM pf JOIN pl USING (doc_id) JOIN pd USING (term)) pf
+  JOIN (SELECT DISTINCT * FROM qe) qe USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM ps) WHERE rank <= 50""")
+def bm25_documents_topk(spark, sf_dir):
+    """Whole texts of the documents whose id is divisible by 50, each as a query, against all documents."""
+    d = _table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    hits = lexical.search(normalizer.tokenize(d, whole=True), lexical.build_index(_pages(spark, sf_dir)))
+    return hits.select("query_id", F.col("product_id").cast("long").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {SCORE} SELECT query_id, code, product_id FROM ex")
 def exact_code_boost(spark, sf_dir):
     return lexical.exact_codes(lexical.query_codes(_texts(spark)), lexical.build_index(_docs(spark, sf_dir)))
