@@ -40,8 +40,9 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     part. The output has turns times participants rows a conversation, as the rotation asks for: where everyone speaks once, that
     is the square of its turns.
     """
+    # __key: the conversation id in a struct, as structs around null are equal. Joins on it keep rows dealt as windows by it want them.
     said = turns.select(
-        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
+        F.struct(F.col(conv).alias("conv_id")).alias("__key"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("speaker"), text_or_empty(F.col(text)).alias("words"),
     )
     as_self = F.concat(F.lit(OPEN + "assistant\n"), _safe(F.col("words")), F.lit(CLOSE))
@@ -50,44 +51,37 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     said = said.withColumn("own", F.length(as_self).cast("long")).withColumn("other", F.length(as_other).cast("long"))
     # Sums of each block, by speaker; texts take no part in them. A rendering's length is that of all rows as users, less
     # what the assistant's own rows save.
-    sums = said.groupBy("conv_id", "block", "speaker").agg(
+    sums = said.groupBy("__key", "block", "speaker").agg(
         F.count("*").alias("n"), F.sum("other").alias("size"), F.sum(F.col("other") - F.col("own")).alias("saved")
     )
-    people = sums.select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    blocks = sums.groupBy("conv_id", "block").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    people = sums.select("__key", F.col("speaker").alias("perspective")).distinct()
+    blocks = sums.groupBy("__key", "block").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    before = Window.partitionBy("__key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
-        "conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size_before")
+        "__key", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size_before")
     )
-    grid = _same(blocks, people, ["conv_id"])
-    own = sums.select("conv_id", "block", F.col("speaker").alias("perspective"), "saved")
-    grid = _same(grid, own, ["conv_id", "block", "perspective"], "left")
-    earlier = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    grid = blocks.join(people, "__key")
+    own = sums.select("__key", "block", F.col("speaker").alias("perspective"), "saved")
+    grid = grid.join(own, ["__key", "block", "perspective"], "left")
+    earlier = Window.partitionBy("__key", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("block_saved", F.coalesce(F.sum("saved").over(earlier), F.lit(0))).drop("saved")
     # Order in the block, then one row for each participant. All of it is dealt by (conversation, block).
-    in_block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "words")
+    in_block = Window.partitionBy("__key", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "words")
     said = said.withColumn("place", F.row_number().over(in_block) - 1)
     said = said.withColumn("other_before", F.sum("other").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("other"))
-    seen = _same(said, grid, ["conv_id", "block"])
+    seen = said.join(grid, ["__key", "block"])
     is_self = F.col("speaker") == F.col("perspective")
     gain = F.when(is_self, F.col("other") - F.col("own")).otherwise(0)
-    ahead = Window.partitionBy("conv_id", "block", "perspective").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("__key", "block", "perspective").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     seen = seen.withColumn("start", F.col("size_before") + F.col("other_before") - F.col("block_saved") - F.coalesce(F.sum(gain).over(ahead), F.lit(0)))
     end = F.col("start") + F.when(is_self, F.col("own")).otherwise(F.col("other"))
     return seen.select(
-        "conv_id", "perspective", "turn", (F.col("rows_before") + F.col("place")).alias("part"), "speaker",
+        F.col("__key.conv_id").alias("conv_id"), "perspective", "turn", (F.col("rows_before") + F.col("place")).alias("part"), "speaker",
         F.when(is_self, "assistant").otherwise("user").alias("chat_role"), F.when(is_self, as_self).otherwise(as_other).alias("rendered"),
         "start", end.alias("end"), F.when(is_self, F.col("start") + len(OPEN + "assistant\n")).otherwise(end).alias("mask_start"), end.alias("mask_end"),
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys meet null keys; keeps the left side's keys."""
-    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]
-    return left.join(named, on, how).drop(*[f"__{k}" for k in keys])
-
-
 def chat_format(conversations: DataFrame) -> DataFrame:
     """rotate() over the table of conversations."""
     return rotate(conversations.select("conv_id", "turn", "role", "text"))
