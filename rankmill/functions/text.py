@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -29,6 +30,7 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+FOLDED = str.maketrans(ACCENTED, PLAIN)
 
 
 def fold(text: Column) -> Column:
@@ -46,6 +48,16 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not 0x300 <= ord(c) <= 0x36F)
 
 
+def fold_token(token: str) -> str:
+    """fold for one Python string."""
+    out = token.lower()
+    if out.isascii():
+        return out
+    for letter, plain in SPECIAL.items():
+        out = out.replace(letter, plain)
+    return "".join(c for c in out.translate(FOLDED) if not 0x300 <= ord(c) <= 0x36F)
+
+
 def canonical_code(code: Column) -> Column:
     return F.regexp_replace(F.upper(code), "[^A-Z0-9]", "")
 
@@ -76,6 +88,26 @@ def _term(term: Column, kind: str, variant: bool = False) -> Column:
     return F.struct(term.alias("term"), F.lit(kind).alias("kind"), F.lit(variant).alias("is_variant"))
 
 
+def tokens(text: Column) -> Column:
+    """Array of a text's tokens as they are, before folding."""
+    return F.regexp_extract_all(preprocess(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def token_terms(token: str) -> list[tuple[str, bool]]:
+    """What analyze(stopwords=True) makes of one of the tokens, in Python: (term, is_variant) in order."""
+    t = fold_token(token)
+    if not t:
+        return []
+    if m := re.search(DIMENSION, t):
+        return [(t, False), (m[1], False), (m[2], False)]
+    if re.search(NUMBER, t):
+        return [(t, False)]
+    if m := re.search(ATTACHED, t):
+        return [(m[1], False), (m[2], False)]
+    words = [(t, False), (t[:-1], True)] if len(t) >= 4 and t[-1] in "sx" else [(t, False)]
+    return [w for w in words if w[0] not in STOPWORDS]
+
+
 def analyze(text: Column, stopwords: bool = False) -> Column:
     """array<struct<term, kind, is_variant>> of a text, in order; stopwords: drop those from words."""
 
@@ -85,8 +117,7 @@ def analyze(text: Column, stopwords: bool = False) -> Column:
         words = F.when(depluralize(t).isNotNull(), F.array(_term(t, "word"), _term(depluralize(t), "word", True))).otherwise(F.array(_term(t, "word")))
         return F.when(t.rlike(DIMENSION), pair).when(t.rlike(NUMBER), F.array(_term(t, "number"))).when(t.rlike(ATTACHED), attached).otherwise(words)
 
-    found = F.regexp_extract_all(preprocess(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    terms = F.flatten(F.transform(F.filter(F.transform(found, fold), lambda t: t != ""), of))
+    terms = F.flatten(F.transform(F.filter(F.transform(tokens(text), fold), lambda t: t != ""), of))
     return F.filter(terms, lambda t: (t["kind"] != "word") | ~t["term"].isin(STOPWORDS)) if stopwords else terms
 
 
