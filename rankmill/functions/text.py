@@ -98,12 +98,13 @@ def token_terms(token: str) -> list[tuple[str, bool]]:
     t = fold_token(token)
     if not t:
         return []
-    if m := re.search(DIMENSION, t):
-        return [(t, False), (m[1], False), (m[2], False)]
-    if re.search(NUMBER, t):
-        return [(t, False)]
-    if m := re.search(ATTACHED, t):
-        return [(m[1], False), (m[2], False)]
+    if t[0] in "0123456789":  # as the three patterns begin
+        if m := re.search(DIMENSION, t):
+            return [(t, False), (m[1], False), (m[2], False)]
+        if re.search(NUMBER, t):
+            return [(t, False)]
+        if m := re.search(ATTACHED, t):
+            return [(m[1], False), (m[2], False)]
     words = [(t, False), (t[:-1], True)] if len(t) >= 4 and t[-1] in "sx" else [(t, False)]
     return [w for w in words if w[0] not in STOPWORDS]
 
