@@ -80,6 +80,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def text_runs(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows whose texts, the last column, hold about limit bytes, or of one text, whichever is larger."""
+    texts = batch.column(batch.num_columns - 1)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    low = 0
+    while low < batch.num_rows:
+        done = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def map_texts(
     docs: DataFrame, text_col: str, carry: list[str], compute: Callable[[list[bytes | None]], dict[str, Sequence]], fields: str, limit: int = 1 << 20,
     at_end: Callable[[], None] | None = None,
@@ -97,17 +109,10 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
-            low = 0
-            while low < batch.num_rows:
-                done = int(ends[low - 1]) if low else 0
-                high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
-                piece = batch.slice(low, high - low)
+            for piece in text_runs(batch, limit):
                 made = compute(piece.column(piece.num_columns - 1).cast(pa.large_binary()).to_pylist())
                 new = [pa.array(made[f.name], type=f.type, from_pandas=True) for f in kinds]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *new], names=[*carry, *kinds.names])
-                low = high
         if at_end is not None:
             at_end()
         pa.default_memory_pool().release_unused()

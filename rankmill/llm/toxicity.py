@@ -12,10 +12,12 @@ times how many labelled rows an example stands for; the vote share is mapped to
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, forget, id_remainder, map_texts, pack, small_batches, trim, unpack
+from .common import checkpoint_dir, forget, id_remainder, map_texts, pack, small_batches, text_runs, trim, unpack
 
 #: The fit's documented bounds: labelled rows of each label and bytes of such a text.
 SAMPLE = {1: 1500, 0: 2500}
@@ -46,6 +48,44 @@ COMMON = 4
 FIRST = 8
 
 WORD = re.compile(r"[^\W\d_]+")
+#: What WORD does not match, as spaces: by ASCII byte, and by code point.
+ASCII_LETTERS = bytes(c if c < 128 and WORD.match(chr(c)) else 32 for c in range(256))
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """The code points themselves, and a space for each that is no letter of WORD."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    return np.frombuffer(re.sub(r"[\W\d_]", " ", every).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, for each word of the lower-case texts in order its place among these, and its text).
+
+    A run of texts is cut at once, and each distinct word becomes a Python object once.
+    """
+    parts = []
+    for text in texts:
+        text = text.lower()
+        if text.isascii():
+            parts.append(text.encode().translate(ASCII_LETTERS))
+        else:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            parts.append(letters()[codes].tobytes().decode("utf-32-le").encode())
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    joined = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)  # a byte 32 in UTF-8 is a space
+    del parts
+    inside = joined != 32
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edge[::2]
+    offsets = np.concatenate(([0], np.cumsum(edge[1::2] - starts)))
+    if not len(starts):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bare = joined[inside]
+    del joined, inside
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(bare)).dictionary_encode()
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends), prepend=0))
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), text
 
 
 def terms_of(word: str) -> list[str]:
@@ -76,45 +116,52 @@ class ToxicityModel:
     blank: float = 0.0
     voters: int = K
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    beginnings: dict[str, int] = field(default_factory=dict)
+    beginnings: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
+    shortest: int = 0
 
     def __post_init__(self) -> None:
-        self.beginnings = {term[:-1]: place for term, place in self.vocabulary.items() if term.endswith("*")}
-
-    def _begun(self, text: str, words: Iterable[str]) -> list[tuple[int, str]]:
-        """(place, word) of the telling beginnings of words of a lower-case text."""
-        here = [head for head in self.beginnings if head in text]
-        return [(self.beginnings[head], w) for w in words for head in here if w.startswith(head)] if here else []
-
-    def places(self, text: str) -> np.ndarray:
-        """Places in the vocabulary of a whole text's terms, in no order, each once."""
-        text = text.lower()
-        words = set(WORD.findall(text))
-        keys = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        keys = keys[keys >= 0]
-        begun = self._begun(text, words)
-        return np.union1d(keys, [k for k, _ in begun]).astype(np.int64) if begun else keys
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the vocabulary of a whole text's terms, and how often each stands there."""
-        text = text.lower()
-        words = Counter(WORD.findall(text))
-        keys = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        often = np.fromiter(words.values(), np.float64, len(words))[keys >= 0]
-        keys = keys[keys >= 0]
-        begun = self._begun(text, words)
-        if begun:  # several words may share a beginning
-            keys = np.concatenate((keys, [k for k, _ in begun]))
-            often = np.concatenate((often, [words[w] for _, w in begun]))
-            keys, at = np.unique(keys, return_inverse=True)
-            often = np.bincount(at, often, len(keys))
-        return keys, often
+        heads = [(term[:-1], place) for term, place in self.vocabulary.items() if term.endswith("*")]
+        self.shortest = min((len(h) for h, _ in heads), default=0)
+        for head, place in heads:  # by how they begin themselves
+            self.beginnings.setdefault(head[: self.shortest], []).append((head, place))
+
+    def terms_in(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, times): the vocabulary's terms in each of a run of whole texts, by text and place, and how often each stands there."""
+        distinct, words, text = words_of(texts)
+        place = np.fromiter(map(self.vocabulary.get, distinct, repeat(-1)), np.int64, len(distinct))
+        size = max(1, len(self.vocabulary))
+        own = place[words]
+        keys = (text * size + own)[own >= 0]
+        near, short = self.beginnings, self.shortest
+        if near:
+            begun = [(k, at) for k, w in enumerate(distinct) if w[:short] in near for head, at in near[w[:short]] if w.startswith(head)]
+            if begun:  # a word may have several beginnings, and several words one
+                which, at = np.array(begun, dtype=np.int64).T
+                n = np.bincount(which, minlength=len(distinct))
+                low = np.cumsum(n) - n
+                hit = np.flatnonzero(n[words])
+                each = n[words[hit]]
+                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                keys = np.concatenate((keys, np.repeat(text[hit] * size, each) + at[np.repeat(low[words[hit]], each) + nth]))
+        keys.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        times = np.diff(first, append=len(keys))
+        return *np.divmod(keys[first], size), times.astype(np.float64)
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """arrays() of each of a run of texts."""
+        text, keys, times = self.terms_in(texts)
+        raw = (1 + np.log(times)) * self.idf[keys]
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        out = []
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            own = raw[low:high]
+            out.append((keys[low:high], own / np.sqrt((own * own).sum()) if len(own) else own))
+        return out
 
     def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector of a whole text over the vocabulary: places and weights; empty where it has no term."""
-        keys, n = self.counts(text)
-        raw = (1 + np.log(n)) * self.idf[keys]
-        return keys, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
+        return self.vectors([text])[0]
 
     def vector(self, text: str) -> dict[int, float]:
         """arrays() as a dictionary."""
@@ -289,7 +336,7 @@ def train(
         counter = ToxicityModel({}, vocabulary, np.zeros(0), labels, weights, [])
         held = np.zeros(len(vocabulary))
         for _, _, text in sample:
-            held[counter.places(text)] += 1
+            held[counter.terms_in([text])[1]] += 1
         corpus = len(sample), held
     idf = np.log((1 + corpus[0]) / (1 + corpus[1])) + 1
     terms = {t: vocabulary[t] for t in telling}
@@ -342,9 +389,9 @@ def document_counts(docs: DataFrame, vocabulary: dict[str, int], text_col: str)
         held = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             held[size] += batch.num_rows
-            for text in batch.column(0):
-                if (t := text.as_py()) is not None:
-                    held[model.places(t)] += 1
+            for run_of in text_runs(batch):
+                texts = [t for t in run_of.column(0).to_pylist() if t is not None]
+                held[:size] += np.bincount(model.terms_in(texts)[1], minlength=size)
         found = np.flatnonzero(held)
         forget(shared)
         trim()
@@ -380,16 +427,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     known: dict[bytes, tuple[float, list[str]]] = {}
 
     def run(texts: list[bytes | None]) -> dict:
-        m, scores, evidence = shared.value, [], []
-        for text in texts:
-            key = hashlib.blake2b(text or b"", digest_size=16).digest()
-            if key not in known:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                score, found = m.score(m.arrays((text or b"").decode("utf-8", "replace")))
-                known[key] = score, [m.ids[e] for e in found[:5]]
-            scores.append(known[key][0])
-            evidence.append(known[key][1])
+        m = shared.value
+        keys = [hashlib.blake2b(text or b"", digest_size=16).digest() for text in texts]
+        here = {key: known[key] for key in keys if key in known}
+        new = {key: text for key, text in zip(keys, texts, strict=True) if key not in here}
+        vectors = m.vectors([(text or b"").decode("utf-8", "replace") for text in new.values()])
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+        for key, vector in zip(new, vectors, strict=True):
+            score, found = m.score(vector)
+            here[key] = score, [m.ids[e] for e in found[:5]]
+            if len(known) < REMEMBER:
+                known[key] = here[key]
+        scores, evidence = [here[key][0] for key in keys], [here[key][1] for key in keys]
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": evidence}
 
     return map_texts(docs, text_col, carry, run, "score double, predicted int, evidence array<string>", at_end=lambda: forget(shared))

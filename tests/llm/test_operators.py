@@ -295,6 +295,31 @@ def test_idf_counts_the_corpus(spark):
     assert n == 11 and list(held) == [5, 10, 0, 5]
 
 
+def test_terms_of_a_run_of_texts_against_brute_force():
+    """A run's texts are cut at once, and each distinct word is looked up once, however many texts hold it."""
+
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, *args):
+            self.looked_up += 1
+            return super().get(*args)
+
+    texts = ["", "Idiot idiots IDIOTIC scum", "1 ½ ² _a_b c1d - x\u00a0y", "ΟΔΟΣ οδος İstanbul Ⅷ ß ǅ", "é e\u0301 漢字 \U0001f600 \U00010400z", "\x00\x7fidi idio", "scumscum " * 500, " ", "a"]
+    every = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
+    own = sorted({w for ws in every for w in ws[1:]} | {"idi*", "idiot*", "scum*"})
+    model = toxicity.ToxicityModel({}, Counted({t: k for k, t in enumerate(own)}), np.ones(len(own)), np.zeros(0), np.zeros(0), [])
+    want = collections.Counter((i, model.vocabulary[t]) for i, ws in enumerate(every) for w in ws for t in {w, *[w[:k] + "*" for k in (3, 4, 5)]} if t in model.vocabulary)
+    for times in (1, 3):
+        model.vocabulary.looked_up = 0
+        text, place, n = model.terms_in(texts * times)
+        assert {(i, k): x for i, k, x in zip(text.tolist(), place.tolist(), n.tolist(), strict=True)} == {(i + len(texts) * j, k): x for (i, k), x in want.items() for j in range(times)}
+        assert model.vocabulary.looked_up == len({w for ws in every for w in ws})
+    for t, (keys, weights) in zip(texts, model.vectors(texts), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(model.arrays(t), (keys, weights), strict=True))
+    assert [len(x) for x in model.terms_in([])] == [0, 0, 0] and model.vectors([]) == []
+
+
 # ---- pieces
 
 
