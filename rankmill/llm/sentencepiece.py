@@ -9,7 +9,8 @@ hypotheses come out in falling order of score: the N best segmentations.
 No piece joins certain neighbours (a letter and a punctuation mark, or anything and a following space), so a text's
 lattice falls apart at such places. Parts are solved once each and remembered; the text's N best follow from the
 parts' N best. Only the parts whose second best is nearest to their best can differ among the text's N best, so the
-forward pass keeps two scores a position and the A-star search runs for those parts alone. The cut is checked against the whole
+forward pass keeps two scores a position and the A-star search runs for those parts alone. The forward passes of a run of texts' new
+parts go position by position through all of them at once, over arrays of their edges. The cut is checked against the whole
 vocabulary when it is loaded.
 
 The hypotheses that wait in the search have no complete segmentation in common, and each one's score is that of its best one, so only
@@ -45,6 +46,8 @@ BYTES_SCORE = -100_000.0
 REMEMBER = 60_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
+#: Characters of the parts whose forward passes run at once, about; each has as many edges as pieces end there.
+SOLVED_AT_ONCE = 1 << 16
 #: Characters of a part from which its forward pass is held in arrays.
 ARRAYS = 4096
 
@@ -76,6 +79,7 @@ class Pieces:
                 node = node.setdefault(c, ({}, -1, 0.0))[0]
             node[p[-1]] = (node.get(p[-1], ({},))[0], *self.ids[p])
         self.longest = max(map(len, self.ids), default=1)
+        self._tabulate()
         # A part: spaces, then letters or then other characters; or spaces at the end. Numerals that are no digits
         # (superscripts, fractions) count as other characters, as they do in the pieces.
         odd = "".join(sorted({c for p in self.ids for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
@@ -85,6 +89,126 @@ class Pieces:
         self.older: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
+    def _tabulate(self) -> None:
+        """The trie as arrays: sorted keys (node * letters + letter) and for each the node below, the piece that ends there or -1, and its score."""
+        letters = sorted({c for p in self.ids for c in p})
+        number = {c: k for k, c in enumerate(letters)}
+        self.letter = np.full(max(map(ord, letters), default=0) + 2, -1, np.int64)  # the last: any other character
+        single = [c in self.ids for c in letters]
+        self.letter[[ord(c) for c, s in zip(letters, single, strict=True) if s]] = [number[c] for c, s in zip(letters, single, strict=True) if s]
+        keys, below, piece, gain = [], [], [], []
+        waiting, made = [(0, self.trie)], 1
+        while waiting:
+            node, entries = waiting.pop()
+            for c, (children, k, score) in entries.items():
+                keys.append(node * len(letters) + number[c])
+                below.append(made if children else -1)
+                piece.append(k)
+                gain.append(score)
+                if children:
+                    waiting.append((made, children))
+                    made += 1
+        kind = np.int32 if made * len(letters) < np.iinfo(np.int32).max else np.int64
+        order = np.argsort(np.array(keys, kind))
+        self.keys = np.append(np.array(keys, kind)[order], np.iinfo(kind).max)
+        self.letter = self.letter.astype(kind)
+        self.below, self.piece = np.array(below, kind)[order], np.array(piece, np.int32)[order]
+        self.gain, self.letters = np.array(gain, np.float64)[order], len(letters)
+
+    def solve(self, parts: list[str]) -> list[tuple[float, float, bytes]]:
+        """best() of each part, none empty: the forward passes of all parts at once, by the same sums in the same order.
+
+        Parts with a character that no piece equals, and longer ones than LONG, have a pass of their own.
+        """
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self.letter[np.minimum(points, len(self.letter) - 1)]
+        begin = np.cumsum(size) - size
+        plain = size <= LONG
+        plain[np.repeat(np.arange(len(parts)), size)[letter < 0]] = False
+        out: list[tuple[float, float, bytes]] = [(0.0, 0.0, b"")] * len(parts)
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = self.best(parts[k])
+        which = np.flatnonzero(plain)
+        if not len(which):
+            return out
+        # Positions of the plain parts, and where they end; then all edges, by the length of the piece.
+        begin, size = begin[which], size[which]
+        at = np.repeat(begin, size) + (own := np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        end = np.repeat(begin + size, size)
+        node, depth = np.zeros(len(at), self.keys.dtype), 0
+        edges: list[tuple[np.ndarray, ...]] = []
+        while len(at):
+            key = node * self.keys.dtype.type(self.letters) + letter[at + depth]
+            entry = np.searchsorted(self.keys, key)
+            found = self.keys[entry] == key
+            at, own, end, entry = at[found], own[found], end[found], entry[found]
+            depth += 1
+            ends = self.piece[entry] >= 0
+            edges.append((own[ends], at[ends], np.full(int(ends.sum()), depth), entry[ends]))
+            node = self.below[entry]
+            more = (node >= 0) & (at + depth < end)
+            at, own, end, node = at[more], own[more], end[more], node[more]
+        offset, start, length, entry = (np.concatenate(x) for x in zip(*edges, strict=True))
+        order = np.argsort(offset.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(offset[order], np.arange(int(size.max()) + 1))
+        # A part's k-th position is number k after its begin, in arrays with one place more for each part.
+        shift = np.zeros(len(points) + 1, np.int64)
+        shift[begin] = np.diff(which, prepend=0)
+        shift = np.cumsum(shift)  # parts before
+        first = np.full(len(points) + len(parts), -np.inf)
+        second = first.copy()
+        start_of, piece_of = np.zeros(len(first), np.int64), np.zeros(len(first), np.int32)
+        begin = begin + which
+        first[begin] = 0.0
+        start, entry, length = (start + shift[start])[order], entry[order], length[order]
+        for low, high in zip(cuts, cuts[1:], strict=False):  # the edges from one place in all parts: no two end at one position
+            i, e = start[low:high], entry[low:high]
+            j, gain = i + length[low:high], self.gain[e]
+            score, other, was = first[i] + gain, second[i] + gain, first[j]
+            better = score > was
+            second[j] = np.where(better, np.maximum(was, other), np.maximum(second[j], score))
+            i, j, e = i[better], j[better], e[better]
+            first[j], start_of[j], piece_of[j] = score[better], i, self.piece[e]
+        last = begin + size
+        scores, gaps = first[last], first[last] - second[last]
+        # Back from the ends, a piece of each part at a time.
+        part, where, taken = np.arange(len(which)), last, []
+        while len(part):
+            taken.append((part, piece_of[where]))
+            where = start_of[where]
+            more = where > begin[part]
+            part, where = part[more], where[more]
+        part, ids = (np.concatenate(x) for x in zip(*reversed(taken), strict=True))
+        ids = ids[np.argsort(part, kind="stable")].tobytes()
+        stops = (4 * np.cumsum(np.bincount(part, minlength=len(which)))).tolist()
+        found = list(zip(scores.tolist(), gaps.tolist(), [ids[low:high] for low, high in zip([0, *stops], stops, strict=False)], strict=True))
+        if len(found) == len(parts):
+            return found
+        for k, one in zip(which.tolist(), found, strict=True):
+            out[k] = one
+        return out
+
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Solves at once what a run of texts, given as parts, has of unknown parts; what is beyond REMEMBER is left to solved()."""
+        every = {p for p in set().union(*texts) if len(p) <= LONG}
+        fresh = list(every.difference(self.known))[:REMEMBER]
+        if len(self.known) + len(fresh) > REMEMBER:  # what is still in use moves back from the older half
+            self.older = dict(self.known)
+            self.known.clear()
+            fresh = list(every)[:REMEMBER]
+        unsolved = []
+        for p in fresh:
+            if (found := self.older.get(p)) is None:
+                unsolved.append(p)
+            else:
+                self.known[p] = found
+        cuts = np.cumsum(np.fromiter(map(len, unsolved), np.int64, len(unsolved))) // SOLVED_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(unsolved)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            block = unsolved[low:high]
+            self.known.update(zip(block, self.solve(block), strict=True))
+
     def edges(self, part: str, at: int) -> list[tuple[int, float, int | str]]:
         """(start, score, piece id or character spelled in bytes) of what can end at a position."""
         ids = self.ids
@@ -202,14 +326,14 @@ class Pieces:
                 self.lists[part, n] = found
         return found
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[list[tuple[int, np.ndarray]]]]:
+    def encode(self, text: str, n: int = N_BEST, parts: list[str] | None = None) -> tuple[np.ndarray, list[float], list[list[tuple[int, np.ndarray]]]]:
         """(ids of the best, scores of the n best, for each of these its parts that differ from the best: (part, ids)).
 
         The empty text has one segmentation, that of the leading space. U+2581 in a text is spelled in bytes.
-        Among the text's n best, at most n - 1 parts differ from their best: those whose second best is nearest.
+        parts: those of the text, where they are known. Among the text's n best, at most n - 1 parts differ from their best: those whose second best is nearest.
         """
         known = self.known
-        parts = self.parts(text)
+        parts = self.parts(text) if parts is None else parts
         scores, gaps, ids = zip(*[known.get(p) or self.solved(p) for p in parts], strict=True)
         total = sum(scores)
         gap = np.array(gaps)
@@ -264,9 +388,11 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
         gc.disable()  # nothing here is cyclic; collection passes over the remembered parts took a third of the time
         out: dict[str, list] = {k: [] for k in ("n_pieces", "piece_ids", "nbest_scores", "nbest_edits", "round_trip")}
         try:
-            for raw in texts:
-                text = (raw or b"").decode("utf-8", "surrogateescape")
-                ids, scores, edits = vocabulary.encode(text, n)
+            whole = [(raw or b"").decode("utf-8", "surrogateescape") for raw in texts]
+            split = [vocabulary.parts(text) for text in whole]
+            vocabulary.prepare(split)
+            for text, parts in zip(whole, split, strict=True):
+                ids, scores, edits = vocabulary.encode(text, n, parts)
                 out["n_pieces"].append(len(ids))
                 out["piece_ids"].append(ids)
                 out["nbest_scores"].append(scores)

@@ -352,6 +352,39 @@ def test_n_best_against_all_segmentations():
             assert v.decode(np.concatenate(parts)) == s
 
 
+def test_parts_solved_at_once_equal_single_passes(monkeypatch):
+    """A run's parts are solved at once, none by a forward pass of its own but those spelled in bytes and the long ones."""
+    rng = np.random.default_rng(5)
+    v = sentencepiece.Pieces(sentencepiece.Path(sentencepiece.DEFAULT_MODEL).read_bytes())
+    alphabets = [["the", "a", " ", "ing", "e", "on", "er"], ["-", "=", " ", ".", "...", "1"], list("aé漢 \U0001f600½\udc80xÅ▁"), list("ab")]
+    parts = [p for letters in alphabets for n in range(1, 70) for p in ("".join(rng.choice(letters, n)), "".join(rng.choice(letters, n)) * 2)]
+    want = {p: v.best(p) for p in parts}
+    assert dict(zip(parts, v.solve(parts), strict=True)) == want and v.solve([]) == []
+    for few in (["a"], ["漢\udc80"], [" " * 65], ["a", " " * 65, "\udc80", "bb"]):
+        assert v.solve(few) == [v.best(p) for p in few]
+
+    texts = ["".join(rng.choice(alphabets[k % 2], 400)) for k in range(40)] + ["", "odd \udc80 " + "y" * 70]
+    alone = [v.encode(t) for t in texts]
+    passes: list[str] = []
+    single = sentencepiece.Pieces.forward
+    for remember, block in ((60_000, 1 << 16), (50, 100)):
+        monkeypatch.setattr(sentencepiece, "REMEMBER", remember)
+        monkeypatch.setattr(sentencepiece, "SOLVED_AT_ONCE", block)
+        w = sentencepiece.Pieces(sentencepiece.Path(sentencepiece.DEFAULT_MODEL).read_bytes())
+        split = [w.parts(t) for t in texts]
+        monkeypatch.setattr(sentencepiece.Pieces, "forward", lambda self, part: passes.append(part) or single(self, part))
+        w.prepare(split[:20])
+        w.prepare(split)
+        if remember > 50:
+            assert all("\udc80" in p for p in passes) and {p for ps in split for p in ps if len(p) <= sentencepiece.LONG} == w.known.keys()
+        assert len(w.known) <= remember and len(w.older) <= remember
+        monkeypatch.setattr(sentencepiece.Pieces, "forward", single)
+        for t, parts_of, (ids, scores, edits) in zip(texts, split, alone, strict=True):
+            got = w.encode(t, parts=parts_of)
+            assert np.array_equal(got[0], ids) and got[1] == scores
+            assert [[(k, x.tolist()) for k, x in e] for e in got[2]] == [[(k, x.tolist()) for k, x in e] for e in edits]
+
+
 def test_repeated_characters_do_not_stall():
     v = sentencepiece.pieces()
     for text in ("-" * 231, "-" * 407, "=" * 1603, "\u65e5" * 5000, "-" * 100_000, "x" * 20_000):
