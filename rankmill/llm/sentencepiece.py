@@ -26,7 +26,7 @@ import os
 from pathlib import Path
 import re
 from array import array
-from collections.abc import MutableSequence
+from collections.abc import Iterator, MutableSequence
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,8 @@ SPACE = "▁"
 N_BEST = 4
 #: Score of a character spelled in bytes: below every piece's.
 BYTES_SCORE = -100_000.0
-#: Parts a Python worker remembers, in each of two halves.
-REMEMBER = 60_000
+#: Parts a Python worker remembers; beyond it, those before the present run of texts go.
+REMEMBER = 120_000
 #: A part that is longer is solved but not remembered.
 LONG = 64
 #: Characters of the parts whose forward passes run at once, about; each has as many edges as pieces end there.
@@ -52,6 +52,19 @@ SOLVED_AT_ONCE = 1 << 16
 ARRAYS = 4096
 
 
+class Numbers(dict):
+    """Parts and their numbers; a part that is not there gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parts: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self.parts)
+        self.parts.append(part)
+        return number
+
+
 class Pieces:
     """A vocabulary: pieces with ids and scores, and the ids of single bytes."""
 
@@ -85,8 +98,7 @@ class Pieces:
         odd = "".join(sorted({c for p in self.ids for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()}))
         self.part = re.compile(rf" *[^\W\d_{odd}]+| *(?:[^\w ]|[\d_{odd}])+| +")
         self.whole = not all(m is not None and m.end() == len(p) for p in self.ids for m in [self.part.match(p)])
-        self.known: dict[str, tuple[float, float, bytes]] = {}
-        self.older: dict[str, tuple[float, float, bytes]] = {}
+        self._clear()
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def _tabulate(self) -> None:
@@ -189,25 +201,31 @@ class Pieces:
             out[k] = one
         return out
 
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Solves at once what a run of texts, given as parts, has of unknown parts; what is beyond REMEMBER is left to solved()."""
-        every = {p for p in set().union(*texts) if len(p) <= LONG}
-        fresh = list(every.difference(self.known))[:REMEMBER]
-        if len(self.known) + len(fresh) > REMEMBER:  # what is still in use moves back from the older half
-            self.older = dict(self.known)
-            self.known.clear()
-            fresh = list(every)[:REMEMBER]
-        unsolved = []
-        for p in fresh:
-            if (found := self.older.get(p)) is None:
-                unsolved.append(p)
-            else:
-                self.known[p] = found
-        cuts = np.cumsum(np.fromiter(map(len, unsolved), np.int64, len(unsolved))) // SOLVED_AT_ONCE
-        cuts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(unsolved)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            block = unsolved[low:high]
-            self.known.update(zip(block, self.solve(block), strict=True))
+    def _clear(self) -> None:
+        """Forgets the parts: their numbers, and by number best score, gap to the second best, and where in ids the best one's stand."""
+        self.known = Numbers()
+        self.scores, self.gaps, self.ids_of, self.stops = np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbered(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's parts. New parts are solved, those of all texts together."""
+        if len(self.known.parts) >= REMEMBER or len(self.ids_of) >= 16 * REMEMBER:
+            self._clear()
+        number = self.known.__getitem__
+        out = [np.fromiter(map(number, parts), np.int64, len(parts)) for parts in map(self.parts, texts)]
+        new = self.known.parts[len(self.scores) :]
+        if not new:
+            return out
+        cuts = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // SOLVED_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(new)]
+        solved = [one for low, high in zip(cuts, cuts[1:], strict=False) for one in self.solve(new[low:high])]
+        scores, gaps, ids = zip(*solved, strict=True)
+        self.stops = np.concatenate((self.stops, self.stops[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+        self.ids_of = np.concatenate((self.ids_of, np.frombuffer(b"".join(ids), np.int32)))
+        self.scores, self.gaps = np.concatenate((self.scores, scores)), np.concatenate((self.gaps, gaps))
+        for part in new:
+            if len(part) > LONG:  # stays by its number only, until the numbers go
+                del self.known[part]
+        return out
 
     def edges(self, part: str, at: int) -> list[tuple[int, float, int | str]]:
         """(start, score, piece id or character spelled in bytes) of what can end at a position."""
@@ -305,15 +323,6 @@ class Pieces:
         ids.reverse()
         return first[size], first[size] - second[size], array("i", ids).tobytes()
 
-    def solved(self, part: str) -> tuple[float, float, bytes]:
-        found = self.older.get(part) or self.best(part)
-        if len(part) <= LONG:
-            if len(self.known) >= REMEMBER:  # what is still in use moves back from the older half
-                self.older = dict(self.known)
-                self.known.clear()
-            self.known[part] = found
-        return found
-
     def ranked(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """n_best with the forward pass's own best in front of others that score as much."""
         if (found := self.lists.get((part, n))) is None:
@@ -321,30 +330,34 @@ class Pieces:
             rest = [(s, x) for s, x in ((s, array("i", x).tobytes()) for s, x in self.n_best(part, n)) if x != ids]
             found = [(score, ids), *rest[: n - 1]]
             if len(part) <= LONG:
-                if len(self.lists) >= REMEMBER // 8:
+                if len(self.lists) >= REMEMBER // 16:
                     self.lists.clear()
                 self.lists[part, n] = found
         return found
 
-    def encode(self, text: str, n: int = N_BEST, parts: list[str] | None = None) -> tuple[np.ndarray, list[float], list[list[tuple[int, np.ndarray]]]]:
+    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[list[tuple[int, np.ndarray]]]]:
         """(ids of the best, scores of the n best, for each of these its parts that differ from the best: (part, ids)).
 
         The empty text has one segmentation, that of the leading space. U+2581 in a text is spelled in bytes.
-        parts: those of the text, where they are known. Among the text's n best, at most n - 1 parts differ from their best: those whose second best is nearest.
+        Among the text's n best, at most n - 1 parts differ from their best: those whose second best is nearest.
         """
-        known = self.known
-        parts = self.parts(text) if parts is None else parts
-        scores, gaps, ids = zip(*[known.get(p) or self.solved(p) for p in parts], strict=True)
-        total = sum(scores)
-        gap = np.array(gaps)
-        near = np.argsort(gap, kind="stable")[: n - 1] if len(gap) <= 64 or n < 2 else _smallest(gap, n - 1)
-        mixed: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        lists = {k: self.ranked(parts[k], n) for k in sorted(near.tolist()) if gaps[k] < np.inf}
-        for k, options in lists.items():
-            grown = [(loss + options[0][0] - score, (*edits, (k, rank)) if rank else edits) for loss, edits in mixed for rank, (score, _) in enumerate(options)]
-            mixed = heapq.nsmallest(n, grown)
-        differ = [[(k, np.frombuffer(lists[k][rank][1], np.int32)) for k, rank in edits] for _, edits in mixed]
-        return np.frombuffer(b"".join(ids), np.int32), [total - loss for loss, _ in mixed], differ
+        return next(self.encode_run([text], n))
+
+    def encode_run(self, texts: list[str], n: int = N_BEST) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, np.ndarray]]]]]:
+        """encode() of each of a run of texts; the forward passes of their new parts go together."""
+        for numbers in self.numbered(texts):
+            total, gap = sum(self.scores[numbers].tolist()), self.gaps[numbers]
+            low = self.stops[numbers]
+            size = self.stops[numbers + 1] - low
+            ids = self.ids_of[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            near = np.argsort(gap, kind="stable")[: n - 1] if len(gap) <= 64 or n < 2 else _smallest(gap, n - 1)
+            mixed: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+            lists = {k: self.ranked(self.known.parts[numbers[k]], n) for k in sorted(near.tolist()) if gap[k] < np.inf}
+            for k, options in lists.items():
+                grown = [(loss + options[0][0] - score, (*edits, (k, rank)) if rank else edits) for loss, edits in mixed for rank, (score, _) in enumerate(options)]
+                mixed = heapq.nsmallest(n, grown)
+            differ = [[(k, np.frombuffer(lists[k][rank][1], np.int32)) for k, rank in edits] for _, edits in mixed]
+            yield ids, [total - loss for loss, _ in mixed], differ
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, the leading space taken off."""
@@ -389,10 +402,7 @@ def encode_column(docs: DataFrame, text_col: str = "text", carry: list[str] | No
         out: dict[str, list] = {k: [] for k in ("n_pieces", "piece_ids", "nbest_scores", "nbest_edits", "round_trip")}
         try:
             whole = [(raw or b"").decode("utf-8", "surrogateescape") for raw in texts]
-            split = [vocabulary.parts(text) for text in whole]
-            vocabulary.prepare(split)
-            for text, parts in zip(whole, split, strict=True):
-                ids, scores, edits = vocabulary.encode(text, n, parts)
+            for text, (ids, scores, edits) in zip(whole, vocabulary.encode_run(whole, n), strict=True):
                 out["n_pieces"].append(len(ids))
                 out["piece_ids"].append(ids)
                 out["nbest_scores"].append(scores)

@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import functools
 import hashlib
 import itertools
 import math
@@ -365,24 +366,24 @@ def test_parts_solved_at_once_equal_single_passes(monkeypatch):
 
     texts = ["".join(rng.choice(alphabets[k % 2], 400)) for k in range(40)] + ["", "odd \udc80 " + "y" * 70]
     alone = [v.encode(t) for t in texts]
+    want_of = functools.cache(v.best)
     passes: list[str] = []
     single = sentencepiece.Pieces.forward
     for remember, block in ((60_000, 1 << 16), (50, 100)):
         monkeypatch.setattr(sentencepiece, "REMEMBER", remember)
         monkeypatch.setattr(sentencepiece, "SOLVED_AT_ONCE", block)
         w = sentencepiece.Pieces(sentencepiece.Path(sentencepiece.DEFAULT_MODEL).read_bytes())
-        split = [w.parts(t) for t in texts]
-        monkeypatch.setattr(sentencepiece.Pieces, "forward", lambda self, part: passes.append(part) or single(self, part))
-        w.prepare(split[:20])
-        w.prepare(split)
-        if remember > 50:
-            assert all("\udc80" in p for p in passes) and {p for ps in split for p in ps if len(p) <= sentencepiece.LONG} == w.known.keys()
-        assert len(w.known) <= remember and len(w.older) <= remember
-        monkeypatch.setattr(sentencepiece.Pieces, "forward", single)
-        for t, parts_of, (ids, scores, edits) in zip(texts, split, alone, strict=True):
-            got = w.encode(t, parts=parts_of)
-            assert np.array_equal(got[0], ids) and got[1] == scores
-            assert [[(k, x.tolist()) for k, x in e] for e in got[2]] == [[(k, x.tolist()) for k, x in e] for e in edits]
+        for run in (texts[:20], texts, texts[::-1]):
+            monkeypatch.setattr(sentencepiece.Pieces, "forward", lambda self, part: passes.append(part) or single(self, part))
+            w.numbered(run)
+            monkeypatch.setattr(sentencepiece.Pieces, "forward", single)
+            assert all("\udc80" in p or len(p) > sentencepiece.LONG for p in passes)
+            assert all(len(p) <= sentencepiece.LONG for p in w.known)
+            for t, got in zip(run, w.encode_run(run), strict=True):
+                ids, scores, edits = alone[texts.index(t)]
+                assert np.array_equal(got[0], ids) and got[1] == scores
+                assert [[(k, x.tolist()) for k, x in e] for e in got[2]] == [[(k, x.tolist()) for k, x in e] for e in edits]
+                assert got[1][0] == sum(want_of(p)[0] for p in v.parts(t)) and got[0].tobytes() == b"".join(want_of(p)[2] for p in v.parts(t))
 
 
 def test_repeated_characters_do_not_stall():
