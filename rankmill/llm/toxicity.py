@@ -55,8 +55,11 @@ ASCII_LETTERS = bytes(c if c < 128 and WORD.match(chr(c)) else 32 for c in range
 @functools.cache
 def letters() -> np.ndarray:
     """The code points themselves, and a space for each that is no letter of WORD."""
-    every = "".join(map(chr, range(sys.maxunicode + 1)))
-    return np.frombuffer(re.sub(r"[\W\d_]", " ", every).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    shown = np.full(len(points), 32, np.uint32)
+    for run in WORD.finditer(points.tobytes().decode("utf-32-le", "surrogatepass")):  # no Python object for each code point
+        shown[slice(*run.span())] = points[slice(*run.span())]
+    return shown
 
 
 def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
